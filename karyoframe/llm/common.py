@@ -85,11 +85,11 @@ def without_gc() -> Iterator[None]:
             gc.enable()
 
 
-def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str, per_task: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str, per_task: int = 2_000, ranges: int = 20_000) -> DataFrame:
     """Adds ``name``, each row's place from 0 among the rows of its group, by ``key`` and then ``ties``.
 
     ``key`` is a double from 0 (with it) to 1 (without it) whose values are spread evenly in each group. Each group is
-    cut into ranges of the key of about ``per_task`` rows: places are counted within a range and the sizes of the ranges
+    cut into ranges of the key of about ``per_task`` rows (larger ones beyond ``ranges`` ranges): places are counted within a range and the sizes of the ranges
     before it are added, so that no task gets a whole group however large it is. ``df`` should be cheap to read again.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -100,7 +100,7 @@ def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str
         on = [left[c].eqNullSafe(right[f"_r_{c}"]) for c in cols] or [F.lit(True)]
         return left.join(right, on).drop(*[f"_r_{c}" for c in cols])
 
-    cuts = joined(df, sizes, group).withColumn("_range", F.floor(F.col(key) * F.ceil(F.col("_n") / per_task)).cast("long"))
+    cuts = joined(df, sizes, group).withColumn("_range", F.floor(F.col(key) * F.least(F.ceil(F.col("_n") / per_task), F.lit(ranges))).cast("long"))
     counts = cuts.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_held"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")

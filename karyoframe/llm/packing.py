@@ -130,7 +130,7 @@ def slots(bins: list[Bins]) -> dict[int, np.ndarray]:
     return {n: np.array(r, dtype=np.int64) for n, r in runs.items()}
 
 
-def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, seed: str = "5", per_task: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, seed: str = "5", per_task: int = 2_000) -> DataFrame:
     """(doc_id, piece, begin, length, bin, bin_size, offset) for each piece of each row of ``docs`` (doc_id, text).
 
     The unit is the byte-level token: a text has its UTF-8 bytes and one end id, so that a null or empty text has

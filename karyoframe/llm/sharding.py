@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut, hex_unit, ranked
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, seed: str = "17", per_task: int = 20_000) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, seed: str = "17", per_task: int = 2_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs`` (doc_id, text, source).
 
     The law is ``rows``: shards differ by one row at most; slot counts a shard's rows from 0; grown_shard is null, as
