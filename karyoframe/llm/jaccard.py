@@ -7,10 +7,10 @@ within each fragment by itself and summed per pair.
    counts, for each set, the n-grams that no other set holds. The sums over fragments say which sets can have a
    partner at all: a set of n needs at least ``percent`` % of n shared n-grams. Equal sets count as one.
 2. Of the sets that remain, n-grams are ordered by how many sets hold them (in powers of four) and by value. Two similar
-   sets share an n-gram among their first n - ceil(percent * n / 100) + 1. The least set under each such n-gram is
-   paired with the others under it; what these pairs link are the first components.
+   sets share an n-gram among their first n - ceil(percent * n / 100) + 1. The set under each such n-gram with the
+   fewest n-grams of its own is paired with the others under it; what these pairs link are the first components.
 3. Sets whose first n-grams hang together, but which stand in different components, are compared in blocks of bounded size, ordered by
-   set size: segment lengths rule out most pairs, fragments count the overlaps of the others, sums decide.
+   set size: first n-grams and segment lengths rule out most pairs, fragments count the overlaps of the others, sums decide.
 
 No pair within a component is needed again, so that a group of n copies costs about n comparisons. Every pair of sets
 that the components don't settle is decided by exact counts; there is no cap on group sizes or candidates.
@@ -192,19 +192,34 @@ def _pair_overlaps(batches):
 
 
 def _segmented(batches):
-    """A row per set and vertical fragment: its segment, and the lengths of the set's segments."""
-    schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("lengths", pa.binary()), ("segment", pa.binary())])
+    """A row per set and vertical fragment: its segment, and the set's first n-grams and lengths of segments."""
+    schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("lengths", pa.binary()), ("segment", pa.binary()), ("first", pa.list_(pa.int64()))])
     for batch in batches:
         rows = []
-        for c, i, r, n, g in zip(*(batch.column(k).to_pylist() for k in ("cluster", "id", "root", "n", "grams"))):
+        for c, i, r, n, g, first in zip(*(batch.column(k).to_pylist() for k in ("cluster", "id", "root", "n", "grams", "first"))):
             v = np.frombuffer(g, np.uint64)
             lengths = np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS).astype(np.int32).tobytes()
-            rows += [(c, i, r, n, f, lengths, _fragment(v, f).tobytes()) for f in range(FRAGMENTS)]
+            rows += [(c, i, r, n, f, lengths, _fragment(v, f).tobytes(), first) for f in range(FRAGMENTS)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
 
 
+def _share_a_first(firsts: pa.ListArray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Which of the rows and cols have one of their first n-grams in common."""
+    grams, owner = firsts.flatten().to_numpy(), np.repeat(np.arange(len(firsts)), firsts.value_lengths().to_numpy())
+    _, gram = np.unique(grams, return_inverse=True)
+    place = np.full((2, len(firsts)), -1)
+    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
+    sides = [np.zeros((len(x), int(gram.max(initial=-1)) + 1), dtype=np.float32) for x in (rows, cols)]
+    for side, at in zip(sides, place):
+        inside = at[owner] >= 0
+        side[at[owner[inside]], gram[inside]] = 1
+    both = (sides[0].any(axis=0) & sides[1].any(axis=0)).nonzero()[0]
+    return sides[0][:, both] @ sides[1][:, both].T > 0
+
+
 def _block_pairs(percent: int):
-    """Of one pair of blocks in one fragment: the pairs that segment lengths allow, with their overlap there."""
+    """Of one pair of blocks in one fragment: the pairs that may be similar by their first n-grams and the lengths of
+    their segments, with their overlap there."""
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
         f, left, right = key[1].as_py(), key[2].as_py(), key[3].as_py()
@@ -215,8 +230,9 @@ def _block_pairs(percent: int):
         here = slice(f * SEGMENTS // FRAGMENTS, (f + 1) * SEGMENTS // FRAGMENTS)
         out: list[tuple] = []
         rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        for i in rows:
-            js = cols[(roots[cols] != roots[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))]
+        meet = _share_a_first(frame.column("first").combine_chunks(), rows, cols)
+        for i, met in zip(rows, meet):
+            js = cols[met & (roots[cols] != roots[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))]
             if left == right:
                 js = js[js > i]
             # the overlap can't exceed the sum of the segments' lesser lengths
@@ -256,13 +272,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     classes = classes.withColumn("own", _owner_column())
     lone = found.where("own is not null").groupBy("own").agg(F.sum("lone").alias("lone"))
     alike = classes.groupBy("own").agg(F.count(F.lit(1)).alias("alike"))
-    open_ = cut(classes.join(alike, "own").join(lone, "own", "left").where(f"alike > 1 or 100 * (n - coalesce(lone, 0)) >= {percent} * n").select("set", "first"))
+    open_ = cut(classes.join(alike, "own").join(lone, "own", "left").where(f"alike > 1 or 100 * (n - coalesce(lone, 0)) >= {percent} * n").select("set", "first", F.coalesce("lone", F.lit(0)).alias("lone")))
 
     ids = smaller(open_.where("first is not null").select(F.col("first").alias("doc_id")).distinct())
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     run, schema = _sets(width)
     sets = texts.mapInArrow(run, schema).where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    sets = written(sets.join(classes.select("set", "first"), "set").withColumn("id", F.xxhash64("set")), "sets")
+    sets = sets.join(classes.select("set", "first"), "set").join(open_.select("set", "lone"), "set", "left")
+    # a set without n-grams of its own is central in its group; sets that came along by a repeated id are least so
+    sets = sets.withColumn("apart", F.coalesce(F.col("lone") / F.col("n"), F.lit(1.0))).drop("lone")
+    sets = written(sets.withColumn("id", F.xxhash64("set")), "sets")
     if sets.groupBy("id").count().where("count > 1").limit(1).count():
         raise RuntimeError("two sets have the same 64-bit id")
     return _link(members, sets, percent)
@@ -285,8 +304,8 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     levels[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["level"].to_numpy(dtype=np.int64), 255)
 
     table = spark.sparkContext.broadcast(levels)
-    under = cut(sets.select("id", "grams").mapInArrow(_prefixes(table, percent), "gram long, id long"))
-    least = under.groupBy("gram").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    under = cut(sets.select("id", "grams").mapInArrow(_prefixes(table, percent), "gram long, id long").join(sets.select("id", "apart"), "id"))
+    least = under.groupBy("gram").agg(F.min(F.struct("apart", "id"))["id"].alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     stars = cut(under.join(least, "gram").where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
     sides = stars.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), "a")
@@ -316,8 +335,9 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meets = meets.where(f"100 * least(high, high2) >= {percent} * greatest(low, low2)").select("cluster", F.col("block").alias("left"), "right")
     sent = meets.select("cluster", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
 
-    full = state.join(sets.select("id", "grams"), "id").select("cluster", "id", "root", "n", "grams", "block")
-    parts = full.select("cluster", "id", "root", "n", "grams").mapInArrow(_segmented, "cluster long, id long, root long, n long, fragment int, lengths binary, segment binary")
+    firsts = under.groupBy("id").agg(F.collect_list("gram").alias("first"))  # of a set: bounded by its own size
+    full = state.join(sets.select("id", "grams"), "id").join(firsts, "id").select("cluster", "id", "root", "n", "grams", "first")
+    parts = full.mapInArrow(_segmented, "cluster long, id long, root long, n long, fragment int, lengths binary, segment binary, first array<long>")
     parts = parts.join(state.select("id", "block"), "id").join(sent, ["cluster", "block"])
     counts = parts.groupBy("cluster", "fragment", "left", "right").applyInArrow(_block_pairs(percent), "a long, b long, na long, nb long, common long")
     sums = counts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("seen"))
