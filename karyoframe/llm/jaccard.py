@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, slices, smaller, written
+from .common import components, cut, give_back, slices, smaller, trimmed, written
 from .shingles import mix64, shingle_sets
 
 #: n-grams for each fragment task of step 1; a fragment's numbers take about 40 bytes each.
-PER_FRAGMENT = 6_000_000
+PER_FRAGMENT = 3_000_000
 #: Sets in a block of step 3.
 BLOCK = 512
 #: Vertical fragments in which overlaps are counted, and segments whose lengths rule out pairs.
@@ -62,7 +62,7 @@ def _first_pass(width: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=4 << 20):
                 ids, texts = part.column("doc_id"), part.column("text").to_pylist()
                 values, offsets = shingle_sets(texts, width)
                 n = np.diff(offsets)
@@ -94,6 +94,7 @@ def _first_pass(width: int, bits: int):
                 spread = int(owners[0] % np.uint64(1 << bits)) if len(owners) else 0
                 rows.append((spread, sink.getvalue().to_pybytes(), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
+                del rows, values, owners, order, sink, docs, table
 
     return run, "frag int, doc binary, owners binary, sizes binary, prints binary"
 
@@ -101,16 +102,20 @@ def _first_pass(width: int, bits: int):
 def _alone(frame: pa.Table) -> pa.Table:
     """Of one fragment: how many of a set's n-grams no other set holds (own, lone); and the documents' rows."""
     docs = [pa.ipc.open_stream(d).read_all() for d in frame.column("doc").drop_null().to_pylist()]
-    rest = frame.filter(pa.compute.is_valid(frame.column("prints")))
+    rest = frame.select(["owners", "sizes", "prints"]).drop_null()
+    del frame
     out = [pa.table({"doc_id": t["doc_id"], "n": t["n"], "set": t["set"], "own": pa.nulls(len(t), pa.int64()), "lone": pa.nulls(len(t), pa.int64())}) for t in docs]
     if len(rest):
         owners = np.concatenate([np.frombuffer(x, np.uint64) for x in rest.column("owners").to_pylist()])
         sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("sizes").to_pylist()])
         prints = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("prints").to_pylist()])
+        del rest
         segment = np.repeat(np.arange(len(owners), dtype=np.int32), sizes)
         order = np.argsort(prints)
         prints, segment = prints[order], segment[order]
+        del order
         starts = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        del prints
         held = owners[segment]
         least, most = np.minimum.reduceat(held, starts), np.maximum.reduceat(held, starts)
         lone = np.bincount(segment[starts[(least == most) & (least != _MANY)]], minlength=len(owners))
@@ -120,6 +125,13 @@ def _alone(frame: pa.Table) -> pa.Table:
     return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
 
+def _alone_trimmed(frame: pa.Table) -> pa.Table:
+    try:
+        return _alone(frame)
+    finally:
+        give_back()
+
+
 def _sets(width: int):
     schema = pa.schema([("set", pa.binary()), ("n", pa.int64()), ("grams", pa.binary())])
 
@@ -265,8 +277,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     bits = max(4, int(grams // 6 // PER_FRAGMENT).bit_length())
 
     run, schema = _first_pass(width, bits)
-    prints = docs.mapInArrow(run, schema)
-    found = written(prints.groupBy("frag").applyInArrow(_alone, "doc_id long, n long, set binary, own long, lone long"), "prints")
+    prints = docs.mapInArrow(trimmed(run), schema)
+    found = written(prints.groupBy("frag").applyInArrow(_alone_trimmed, "doc_id long, n long, set binary, own long, lone long"), "prints")
     members = found.where("set is not null").select("doc_id", "n", "set")
     classes = cut(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
     classes = classes.withColumn("own", _owner_column())
@@ -277,7 +289,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     ids = smaller(open_.where("first is not null").select(F.col("first").alias("doc_id")).distinct())
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     run, schema = _sets(width)
-    sets = texts.mapInArrow(run, schema).where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    sets = texts.mapInArrow(trimmed(run), schema).where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = sets.join(classes.select("set", "first"), "set").join(open_.select("set", "lone"), "set", "left")
     # a set without n-grams of its own is central in its group; sets that came along by a repeated id are least so
     sets = sets.withColumn("apart", F.coalesce(F.col("lone") / F.col("n"), F.lit(1.0))).drop("lone")
@@ -296,7 +308,7 @@ def _owner_column():
 
 def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = members.sparkSession
-    held = cut(sets.select("grams").mapInArrow(_common, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).where("held >= 4"))
+    held = cut(sets.select("grams").mapInArrow(trimmed(_common), "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).where("held >= 4"))
     slots = 1 << min(SLOTS.bit_length() - 1, max(10, (8 * held.count()).bit_length()))
     level = F.floor(F.log2("held") / 2).cast("int")
     rows = held.groupBy(F.col("gram").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.max(level).alias("level")).toPandas()  # at most SLOTS
@@ -304,7 +316,7 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     levels[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["level"].to_numpy(dtype=np.int64), 255)
 
     table = spark.sparkContext.broadcast(levels)
-    under = cut(sets.select("id", "grams").mapInArrow(_prefixes(table, percent), "gram long, id long").join(sets.select("id", "apart"), "id"))
+    under = cut(sets.select("id", "grams").mapInArrow(trimmed(_prefixes(table, percent)), "gram long, id long").join(sets.select("id", "apart"), "id"))
     least = under.groupBy("gram").agg(F.min(F.struct("apart", "id"))["id"].alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     stars = cut(under.join(least, "gram").where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
@@ -312,7 +324,7 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sides = sides.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb")), "b")
     near = sides.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ga", "gb")
     enough = f"100 * common >= {percent} * (na + nb - common)"
-    links = cut(near.mapInArrow(_pair_overlaps, "a long, b long, na long, nb long, common long").where(enough).select("a", "b"))
+    links = cut(near.mapInArrow(trimmed(_pair_overlaps), "a long, b long, na long, nb long, common long").where(enough).select("a", "b"))
     roots = components(spark, links)
 
     # sets whose first n-grams hang together, where these don't all stand in one component yet
@@ -337,7 +349,7 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     firsts = under.groupBy("id").agg(F.collect_list("gram").alias("first"))  # of a set: bounded by its own size
     full = state.join(sets.select("id", "grams"), "id").join(firsts, "id").select("cluster", "id", "root", "n", "grams", "first")
-    parts = full.mapInArrow(_segmented, "cluster long, id long, root long, n long, fragment int, lengths binary, segment binary, first array<long>")
+    parts = full.mapInArrow(trimmed(_segmented), "cluster long, id long, root long, n long, fragment int, lengths binary, segment binary, first array<long>")
     parts = parts.join(state.select("id", "block"), "id").join(sent, ["cluster", "block"])
     counts = parts.groupBy("cluster", "fragment", "left", "right").applyInArrow(_block_pairs(percent), "a long, b long, na long, nb long, common long")
     sums = counts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("seen"))
