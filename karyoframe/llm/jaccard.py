@@ -4,8 +4,9 @@ The global order of n-grams is cut into fragments; a document's part in a fragme
 within each fragment by itself and summed per pair.
 
 1. One pass over the texts sends each n-gram's fingerprint to its fragment, combined before the shuffle. A fragment
-   counts, for each set, the n-grams that no other set holds. The sums over fragments say which sets can have a
-   partner at all: a set of n needs at least ``percent`` % of n shared n-grams. Equal sets count as one.
+   counts, for each set, the n-grams that another set holds too, and gives no row for a set without any. The sums over
+   fragments say which sets can have a partner at all: a set of n needs at least ``percent`` % of n shared n-grams.
+   Equal sets count as one.
 2. Of the sets that remain, n-grams are ordered by how many sets hold them (in powers of four) and by value. Two similar
    sets share an n-gram among their first n - ceil(percent * n / 100) + 1. The set under each such n-gram with the
    fewest n-grams of its own is paired with the others under it; what these pairs link are the first components.
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +70,13 @@ def _first_pass(width: int, bits: int):
                 owners = np.repeat(_owners(sets), n)
                 order = np.argsort(values)
                 values, owners = values[order], owners[order]
+                within = np.zeros(len(n), dtype=np.int64)  # a document's n-grams that another set of this batch holds
                 if len(values):
-                    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+                    fresh = np.concatenate(([True], values[1:] != values[:-1]))
+                    starts = np.flatnonzero(fresh)
                     least, most = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
+                    many = (least != most)[np.cumsum(fresh) - 1]
+                    within = np.bincount(np.repeat(np.arange(len(n)), n)[order][many], minlength=len(n))
                     values, owners = values[starts], np.where(least == most, least, _MANY)
                     frag = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), dtype=np.int64)
                     prints = ((values << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
@@ -86,48 +90,50 @@ def _first_pass(width: int, bits: int):
                         by = np.argsort(owners[a:b], kind="stable")
                         own, at, sizes = np.unique(owners[a:b][by], return_index=True, return_counts=True)
                         rows.append((f, None, own.tobytes(), sizes.astype(np.uint32).tobytes(), prints[a:b][by].tobytes()))
-                docs = pd.DataFrame({"id": ids.to_pylist(), "n": n, "set": sets})
-                table = pa.table({"doc_id": pa.array(docs["id"], type=pa.int64(), from_pandas=True), "n": pa.array(docs["n"]), "set": pa.array(docs["set"], type=pa.binary())})
+                table = pa.table({"doc_id": ids.cast(pa.int64()), "n": pa.array(n, pa.int64()), "set": pa.array(sets, pa.binary()), "within": pa.array(within, pa.int64())})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
                     out.write_table(table)
                 spread = int(owners[0] % np.uint64(1 << bits)) if len(owners) else 0
                 rows.append((spread, sink.getvalue().to_pybytes(), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
-                del rows, values, owners, order, sink, docs, table
+                del rows, values, owners, order, sink, table
 
     return run, "frag int, doc binary, owners binary, sizes binary, prints binary"
 
 
-def _alone(frame: pa.Table) -> pa.Table:
-    """Of one fragment: how many of a set's n-grams no other set holds (own, lone); and the documents' rows."""
+_COUNTS = "doc_id long, n long, set binary, within long, own long, shared long"
+
+
+def _shared(frame: pa.Table) -> pa.Table:
+    """Of one fragment: how many of a set's n-grams other sets hold too (own, shared); and the documents' rows."""
     docs = [pa.ipc.open_stream(d).read_all() for d in frame.column("doc").drop_null().to_pylist()]
     rest = frame.select(["owners", "sizes", "prints"]).drop_null()
     del frame
-    out = [pa.table({"doc_id": t["doc_id"], "n": t["n"], "set": t["set"], "own": pa.nulls(len(t), pa.int64()), "lone": pa.nulls(len(t), pa.int64())}) for t in docs]
+    long = lambda x: pa.array(x, pa.int64())
+    out = [t.append_column("own", pa.nulls(len(t), pa.int64())).append_column("shared", pa.nulls(len(t), pa.int64())) for t in docs]
     if len(rest):
-        owners = np.concatenate([np.frombuffer(x, np.uint64) for x in rest.column("owners").to_pylist()])
+        names, rank = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rest.column("owners").to_pylist()]), return_inverse=True)
         sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("sizes").to_pylist()])
-        prints = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("prints").to_pylist()])
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("prints").to_pylist()]).astype(np.uint64)
         del rest
-        segment = np.repeat(np.arange(len(owners), dtype=np.int32), sizes)
-        order = np.argsort(prints)
-        prints, segment = prints[order], segment[order]
-        del order
-        starts = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
-        del prints
-        held = owners[segment]
-        least, most = np.minimum.reduceat(held, starts), np.maximum.reduceat(held, starts)
-        lone = np.bincount(segment[starts[(least == most) & (least != _MANY)]], minlength=len(owners))
-        some = np.flatnonzero(lone)
-        out.append(pa.table({"doc_id": pa.nulls(len(some), pa.int64()), "n": pa.nulls(len(some), pa.int64()), "set": pa.nulls(len(some), pa.binary()), "own": pa.array(owners[some].view(np.int64)), "lone": pa.array(lone[some].astype(np.int64))}))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("own", pa.int64()), ("lone", pa.int64())])
+        key <<= np.uint64(32)
+        key |= np.repeat(rank.astype(np.uint64), sizes)
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]  # an n-gram once for each of its sets
+        same = (key[1:] >> np.uint64(32)) == (key[:-1] >> np.uint64(32))
+        held = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        shared = np.bincount((key[held] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+        some = np.flatnonzero((shared > 0) & (names != _MANY))
+        nothing = pa.nulls(len(some), pa.int64())
+        out.append(pa.table({"doc_id": nothing, "n": nothing, "set": pa.nulls(len(some), pa.binary()), "within": nothing, "own": long(names[some].view(np.int64)), "shared": long(shared[some])}))
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("within", pa.int64()), ("own", pa.int64()), ("shared", pa.int64())])
     return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
 
-def _alone_trimmed(frame: pa.Table) -> pa.Table:
+def _shared_trimmed(frame: pa.Table) -> pa.Table:
     try:
-        return _alone(frame)
+        return _shared(frame)
     finally:
         give_back()
 
@@ -278,13 +284,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 
     run, schema = _first_pass(width, bits)
     prints = docs.mapInArrow(trimmed(run), schema)
-    found = written(prints.groupBy("frag").applyInArrow(_alone_trimmed, "doc_id long, n long, set binary, own long, lone long"), "prints")
+    found = written(prints.groupBy("frag").applyInArrow(_shared_trimmed, _COUNTS), "prints")
     members = found.where("set is not null").select("doc_id", "n", "set")
-    classes = cut(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
-    classes = classes.withColumn("own", _owner_column())
-    lone = found.where("own is not null").groupBy("own").agg(F.sum("lone").alias("lone"))
+    # n-grams that are shared in every batch that holds the set are in no fragment under its name: at most the least ``within``
+    classes = found.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("within").alias("within"))
+    classes = cut(classes.withColumn("own", _owner_column()))
+    shared = found.where("own is not null").groupBy("own").agg(F.sum("shared").alias("shared"))
     alike = classes.groupBy("own").agg(F.count(F.lit(1)).alias("alike"))
-    open_ = cut(classes.join(alike, "own").join(lone, "own", "left").where(f"alike > 1 or 100 * (n - coalesce(lone, 0)) >= {percent} * n").select("set", "first", F.coalesce("lone", F.lit(0)).alias("lone")))
+    known = classes.join(alike, "own").join(shared, "own", "left").withColumn("shared", F.least("n", F.col("within") + F.coalesce("shared", F.lit(0))))
+    open_ = cut(known.where(f"alike > 1 or 100 * shared >= {percent} * n").select("set", "first", (F.col("n") - F.col("shared")).alias("lone")))
 
     ids = smaller(open_.where("first is not null").select(F.col("first").alias("doc_id")).distinct())
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
