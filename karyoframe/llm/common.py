@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Rows that may be broadcast when they hold no more than an id or a few numbers each.
 BROADCAST_ROWS = 4_000_000
+#: Most bytes of an Arrow batch of texts; a row that has more is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         yield batch.slice(start)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session's Arrow batches held to BATCH_BYTES, unless the session has a lower bound."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def give_back() -> None:
     """Returns freed memory of Arrow and of the C library to the system: Python workers keep it else while they wait."""
     pa.default_memory_pool().release_unused()

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, give_back, slices, smaller, trimmed, written
+from .common import components, cut, give_back, slices, small_batches, smaller, trimmed, written
 from .shingles import mix64, shingle_sets
 
-#: n-grams for each fragment task of step 1; a fragment's numbers take about 40 bytes each.
-PER_FRAGMENT = 3_000_000
+#: n-grams for each fragment task of step 1; a fragment's numbers take about 25 bytes each. A set has a row in each
+#: fragment where it shares an n-gram: more fragments make more rows, at most one for each shared n-gram.
+PER_FRAGMENT = 5_000_000
 #: Sets in a block of step 3.
 BLOCK = 512
 #: Vertical fragments in which overlaps are counted, and segments whose lengths rule out pairs.
@@ -118,10 +119,10 @@ def _shared(frame: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("prints").to_pylist()]).astype(np.uint64)
         del rest
         key <<= np.uint64(32)
-        key |= np.repeat(rank.astype(np.uint64), sizes)
+        key |= np.repeat(rank.astype(np.uint32), sizes)
         key.sort()
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]  # an n-gram once for each of its sets
-        same = (key[1:] >> np.uint64(32)) == (key[:-1] >> np.uint64(32))
+        same = (key[1:] ^ key[:-1]) <= np.uint64(0xFFFFFFFF)
         held = np.concatenate((same, [False])) | np.concatenate(([False], same))
         shared = np.bincount((key[held] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
         some = np.flatnonzero((shared > 0) & (names != _MANY))
@@ -283,7 +284,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     bits = max(4, int(grams // 6 // PER_FRAGMENT).bit_length())
 
     run, schema = _first_pass(width, bits)
-    prints = docs.mapInArrow(trimmed(run), schema)
+    prints = small_batches(docs).mapInArrow(trimmed(run), schema)
     found = written(prints.groupBy("frag").applyInArrow(_shared_trimmed, _COUNTS), "prints")
     members = found.where("set is not null").select("doc_id", "n", "set")
     # n-grams that are shared in every batch that holds the set are in no fragment under its name: at most the least ``within``
