@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches, trimmed
 from .shingles import _WORDS
 
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
@@ -86,16 +86,17 @@ def _repeat_words(words: list[bytes]) -> int:
 
 def with_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of ``docs`` and the counts of its text."""
-    kept = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    at = "text" if "text" in carry and dict(docs.dtypes)["text"] == "string" else "_text"  # a text travels once
+    kept = docs.select(*carry) if at == "text" else docs.select(*carry, F.col("text").cast("string").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*carry).schema] + [f"_{c} long" for c in COUNTS])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                stats = text_stats(part.column("_text").to_pylist())
+            for part in slices(batch, at):
+                stats = text_stats(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *[pa.array(stats[:, k]) for k in range(len(COUNTS))]], names=[*carry, *[f"_{c}" for c in COUNTS]])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(trimmed(run), schema)
 
 
 def base_failed() -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches, trimmed
 
 _HINTS = ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z_\-]*(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[a-z]*|bearer|credentials?|key))[\"']?(?:\s*(?:=>|:=|[:=])\s*|\s+)[\"']?([^\s\"'<>,;()\[\]{}]{8,200})")
@@ -239,7 +239,7 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0
 
     own = ["path"] if "path" in docs.columns else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
-    return rows.mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, findings array<struct<begin:int,end:int,kind:string,score:double,secret:boolean>>, redacted string")
+    return small_batches(rows).mapInArrow(trimmed(run), "doc_id long, n_candidates long, n_secrets long, findings array<struct<begin:int,end:int,kind:string,score:double,secret:boolean>>, redacted string")
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
@@ -268,4 +268,4 @@ def without_secrets(docs: DataFrame, forest: Forest | None = None, least: float
                     part = part.set_column(at, part.schema.field(at), pa.array(counts, part.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(trimmed(run), schema)
