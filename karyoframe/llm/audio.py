@@ -136,18 +136,19 @@ def parse(data: bytes | None) -> Audio:
     data, a = data or b"", Audio()
     a.tags, at = _id3v2(data)
     end = len(data)
-    if end - at >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        for name, p, q in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if text := data[end + p : end + q].split(b"\0")[0].decode("latin-1").strip():
-                a.tags[name] = text
+    tag = end - 128 if end - at >= 128 and data[-128:-125] == b"TAG" else -1  # an ID3v1 tag, unless a frame holds this place
     found, infos, synced = [], [], False
     while at < end:
+        if at == tag:
+            for name, p, q in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+                if text := data[tag + p : tag + q].split(b"\0")[0].decode("latin-1").strip():
+                    a.tags[name] = text
+            break
         info = header(data[at : at + 4])
         ok = info is not None and at + info[0] <= end
-        if ok and not synced:  # a first header counts only if another, or the end, is where it says
+        if ok and (not synced or at < tag < at + info[0]):  # such a header counts only if another, or the end, is where it says
             after = at + info[0]
-            ok = after == end or (header(data[after : after + 4]) or (0, 0, -1))[2] == info[2]
+            ok = after in (end, tag) or (header(data[after : after + 4]) or (0, 0, -1))[2] == info[2]
         if ok:
             found.append(at)
             infos.append(info)
@@ -155,8 +156,9 @@ def parse(data: bytes | None) -> Audio:
             continue
         a.resyncs += bool(found) and synced
         synced, here = False, at
-        at = data.find(b"\xff", at + 1, end)
-        at = end if at < 0 else at
+        stop = tag if at < tag else end
+        at = data.find(b"\xff", at + 1, stop)
+        at = stop if at < 0 else at
         a.skipped += at - here
     if not found:
         return a

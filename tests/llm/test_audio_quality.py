@@ -121,3 +121,14 @@ def test_judge(spark):
     kept = keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
     assert judge(docs.limit(0), labels).count() == 0 and judge(docs, labels.limit(0)).where("kept and base_failed").count() == 0
+
+
+def test_payload_that_looks_like_a_tag():
+    for before in (0, 576, 5760):
+        text = b"x" * (before + 475) + b"TAG" + b"y" * 98
+        assert unwrap(wrap(text)) == text and "title" not in parse(wrap(text)).tags
+        media = wrap(text) + b"TAG" + b"a title".ljust(125, b"\0")
+        audio = parse(media)
+        assert unwrap(media, audio) == text and audio.tags["title"] == "a title" and audio.skipped == 0
+    cut = wrap(b"x" * 5760)[:-50] + b"TAG" + b"a title".ljust(125, b"\0")
+    assert parse(cut).tags["title"] == "a title" and len(unwrap(cut)) == 5760 - 576
