@@ -20,52 +20,68 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, trimmed
 
 _HINTS = ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z_\-]*(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[a-z]*|bearer|credentials?|key))[\"']?(?:\s*(?:=>|:=|[:=])\s*|\s+)[\"']?([^\s\"'<>,;()\[\]{}]{8,200})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z_\-]*(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[a-z]*|bearer|credentials?|key))[\"']?(?:\s*(?:=>|:=|[:=])\s*|\s+)[\"']?([^\s\"'<>,;()\[\]{}]{8,})")
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(AKIA[0-9A-Z]{16})|(gh[pousr]_[A-Za-z0-9]{36,})|(xox[abprs]-[A-Za-z0-9\-]{10,})|(sk-[A-Za-z0-9]{20,})|(eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+))(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)")
 _DENSE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}")
-_DIGIT = re.compile(r"\d")
 _PATH = re.compile(r"(?:[\w.\-]+)?/[\w.\-/]+|[\w\-]+\.(?:py|js|ts|java|go|rb|c|h|env|cfg|conf|ini|yml|yaml|json|xml|md|txt|pem)\b")
 
-#: Words by which false positives and secrets are told apart; a stand-in for a dictionary file, which can be passed instead.
+#: Words by which false positives and secrets are told apart; a stand-in for a dictionary file; other words can be passed as ``dictionary``.
 DICTIONARY = tuple(
     "access account action address admin alpha api app array auth base beta block bool branch build byte cache call case change char check class client code commit config const content count create current data date debug default delete demo digest div document domain done dummy edit email end entry error event example expired fail false field file final fixture flag float folder foo function get group guide handler hash head header hello here host html http https id image import index info init input insert int item json key label last length level library license line link list load local lock log login long main manager map mark master max message method min mock mode model module my name net new node none note null number object open option order output package page param parent parse pass password path place placeholder plain please point port print private process profile project public put query random read real ref release remove replace request reset response result return root row run sample save script search secret select send server service session set sha show size some sort source span start state static status step stop string style sub sum swap sync system table tag target task temp template test text the this time title todo token tool top total tree true type update upload url use user util value var version view void web while width window word work world write www your".split()
 )
+#: Words outside the dictionary, of which findings() makes passphrases.
+_OTHER_WORDS = tuple("correct horse battery staple purple monkey dragon summer winter river mountain garden coffee silver golden orange banana rocket planet thunder shadow falcon tiger eagle whisky castle marble velvet copper meadow lantern anchor pepper walnut saddle turtle violin window guitar hammer kitten".split())
 _SECRET_NEAR = ("token", "secret", "password", "passwd", "pwd", "key", "api", "auth", "bearer", "credential", "private", "access")
 _OTHER_NEAR = ("commit", "sha", "md5", "checksum", "digest", "hash", "uuid", "guid", "revision", "etag", "integrity", "example", "sample", "dummy", "test", "build", "trace", "fingerprint", "image", "version")
 FEATURES = ("length", "entropy", "digits", "upper", "lower", "marks", "switches", "transitions", "covered", "longest_word", "repeats", "hex", "uuid", "assigned", "known", "near_secret", "near_other", "path_test", "path_config")
 
 
-@lru_cache(maxsize=1)
-def _bigrams() -> np.ndarray:
-    """Log-likelihoods of character transitions within words, learned from the dictionary's words, with add-one counts."""
-    seen = np.ones((27, 27))
-    for w in DICTIONARY:
-        for a, b in zip(w, w[1:]):
-            seen[ord(a) - 97, ord(b) - 97] += 1
-    return np.log2(seen / seen.sum(axis=1, keepdims=True))
+class Lexicon:
+    """A dictionary's words: log-likelihoods of character transitions within them (add-one counts), and where they stand."""
 
+    def __init__(self, words: tuple[str, ...]):
+        low = [w.lower() for w in words]
+        seen = np.ones((27, 27))
+        for w in low:
+            for a, b in zip(w, w[1:]):
+                if "a" <= a <= "z" and "a" <= b <= "z":
+                    seen[ord(a) - 97, ord(b) - 97] += 1
+        self.transitions = np.log2(seen / seen.sum(axis=1, keepdims=True)).tolist()
+        self.words = frozenset(w for w in low if len(w) > 2)
+        self.sizes = {c: sorted({len(w) for w in self.words if w[0] == c}, reverse=True) for c in {w[0] for w in self.words}}
 
-@lru_cache(maxsize=1)
-def _words() -> re.Pattern:
-    return re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
+    def found(self, low: str) -> list[int]:
+        """Lengths of the words in a lower-case value, from the left, the longest first, without overlaps."""
+        out, at = [], 0
+        while at < len(low):
+            n = next((n for n in self.sizes.get(low[at], ()) if low[at : at + n] in self.words), 0)
+            if n:
+                out.append(n)
+            at += n or 1
+        return out
 
 
-def features(value: str, before: str, after: str, path: str, assigned: bool, known: bool) -> list[float]:
+@lru_cache(maxsize=2)
+def lexicon(words: tuple[str, ...] = DICTIONARY) -> Lexicon:
+    return Lexicon(words)
+
+
+def features(value: str, before: str, after: str, path: str, assigned: bool, known: bool, words: Lexicon) -> list[float]:
     """Of one candidate with the text around it; in the order of FEATURES."""
     n, low = len(value), value.lower()
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in value]
     counts = [value.count(c) for c in set(value)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    table = _bigrams()
-    pairs = [table[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
-    found = _words().findall(low)
+    table = words.transitions
+    pairs = [table[ord(a) - 97][ord(b) - 97] for a, b in zip(low, low[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
+    found = words.found(low)
     near = (before[-40:] + " " + after[:20]).lower()
     place = (path or " ".join(_PATH.findall(before[-120:]))).lower()
     return [
         n, entropy, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("m") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum(pairs) / len(pairs) if pairs else -9.0,
-        sum(map(len, found)) / n, max(map(len, found), default=0), max(counts) / n,
+        sum(found) / n, max(found, default=0), max(counts) / n,
         float(re.fullmatch(r"[0-9a-f]+", low) is not None), float(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low) is not None),
         float(assigned), float(known), sum(w in near for w in _SECRET_NEAR), sum(w in near for w in _OTHER_NEAR),
         float(re.search(r"test|example|sample|mock|fixture|doc|spec|readme|\.md", place) is not None), float(re.search(r"env|conf|cfg|prod|deploy|secret|\.ini|\.ya?ml", place) is not None),
@@ -73,7 +89,7 @@ def features(value: str, before: str, after: str, path: str, assigned: bool, kno
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str, bool, bool]]:
-    """(begin, end, kind, assigned, known) of what may be a secret, in order and without overlaps; code points."""
+    """(begin, end, kind, assigned, known) of what may be a secret, in order; code points. Overlapping ones are one: their union."""
     if not text:
         return []
     found: list[tuple[int, int, str, bool, bool]] = []
@@ -84,12 +100,15 @@ def candidates(text: str | None) -> list[tuple[int, int, str, bool, bool]]:
         names = ("access key id", "platform token", "chat token", "service key", "web token")
         found += [(m.start(), m.end(), names[m.lastindex - 1], False, True) for m in _KNOWN.finditer(text)]
     if any(h in low for h in _HINTS):
-        found += [(m.start(1), m.end(1), "assigned", True, False) for m in _ASSIGNED.finditer(text) if _DIGIT.search(m[1]) or not m[1].isalpha()]
-    found += [(m.start(), m.end(), "dense", False, False) for m in _DENSE.finditer(text) if _DIGIT.search(m[0])]
+        found += [(m.start(1), m.end(1), "assigned", True, False) for m in _ASSIGNED.finditer(text)]
+    found += [(m.start(), m.end(), "dense", False, False) for m in _DENSE.finditer(text) if m[0].count(m[0][0]) < len(m[0])]  # a run of one character tells nothing
     out: list[tuple[int, int, str, bool, bool]] = []
     for c in sorted(found, key=lambda c: (c[0], -c[1], not c[4], not c[3])):
         if not out or c[0] >= out[-1][1]:
             out.append(c)
+        else:
+            p = out[-1]
+            out[-1] = (p[0], max(p[1], c[1]), p[2] if (p[4], p[3]) >= (c[4], c[3]) else c[2], p[3] or c[3], p[4] or c[4])
     return out
 
 
@@ -146,7 +165,7 @@ class Forest:
         return total / len(self.trees)
 
 
-def findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, bool]]:
+def findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, str, bool]]:
     """Labelled findings (before, value, after, path, is it a secret), made by rule: half secrets, half false positives."""
     rnd = random.Random(seed)
     pick = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
@@ -159,12 +178,15 @@ def findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, boo
         good = rnd.choice(["", "config/prod.env", "deploy/settings.yml", "src/app/main.py"])
         odd = rnd.choice(["", "", "tests/fixtures/data.json", "docs/example.md", "src/app/main.py"])
         if i % 2 == 0:
-            kind = rnd.randrange(6)
-            value = (pick(hexa, rnd.choice([32, 40, 40, 64])), pick(alnum, rnd.randrange(20, 60)), pick(alnum + "+/", 40), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + pick(alnum, 36), f"-----BEGIN {rnd.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n{pick(alnum, rnd.randrange(6, 200))}\n-----END PRIVATE KEY-----")[kind]
-            before = f"{prose()} {name}{sign}{quote}" if kind < 3 or rnd.random() < 0.5 else f"{prose()} "
+            kind = rnd.randrange(9)
+            many = [rnd.choice(_OTHER_WORDS) for _ in range(rnd.randrange(3, 6))]
+            value = (pick(hexa, rnd.choice([32, 40, 40, 64])), pick(alnum, rnd.randrange(20, 60)), pick(alnum + "+/", 40), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + pick(alnum, 36), f"-----BEGIN {rnd.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n{pick(alnum, rnd.randrange(6, 200))}\n-----END PRIVATE KEY-----",
+                     pick(alnum + ".%$~@", rnd.choice([60, 150, 250, 400, 900])), pick(alnum[:52], rnd.randrange(16, 48)), rnd.choice(["".join(w.title() for w in many), "".join(many)]))[kind]
+            before = f"{prose()} {name}{sign}{quote}" if kind < 3 or kind > 5 or rnd.random() < 0.5 else f"{prose()} "
             out.append((before, value, f"{quote} {prose()}", good, True))
         else:
-            kind = rnd.randrange(8)
+            kind = rnd.randrange(12)
+            syllables = lambda a, b: "".join(rnd.choice(("an", "er", "th", "ion", "st", "re", "le", "da", "en")) for _ in range(rnd.randrange(a, b)))
             words = [rnd.choice(DICTIONARY) for _ in range(5)]
             value = (
                 pick(hexa, rnd.choice([32, 40, 64])),
@@ -175,32 +197,36 @@ def findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, boo
                 pick("0123456789", rnd.randrange(20, 30)),
                 rnd.choice(["=", "-", "_"]) * rnd.randrange(20, 50) + str(rnd.randrange(10)),
                 "/".join(words) + f"/{rnd.choice(words)}{rnd.randrange(100)}.html",
+                rnd.choice([syllables(4, 7), syllables(4, 7).title(), rnd.choice([w for w in DICTIONARY + _OTHER_WORDS if len(w) > 7])]),
+                syllables(9, 14),
+                rnd.choice(["/", "-", "_", ""]).join(w.title() if rnd.random() < 0.5 else w for w in words),
+                "/".join(rnd.choice(DICTIONARY) for _ in range(rnd.randrange(5, 60))) + ".html",
             )[kind]
-            near = {0: ["commit ", "sha1: ", "md5 = ", "checksum: ", "digest ", "revision "], 1: ["uuid: ", "id = ", "trace ", "guid "], 3: [f"{name}{sign}{quote}"]}.get(kind, ["", "see ", "class ", "file ", f"{name}{sign}"])
+            near = {0: ["commit ", "sha1: ", "md5 = ", "checksum: ", "digest ", "revision "], 1: ["uuid: ", "id = ", "trace ", "guid "], 3: [f"{name}{sign}{quote}"], 8: [f"{name} ", "author ", "key ", "secret "], 9: [""], 10: ["", "see ", "class "]}.get(kind, ["", "see ", "class ", "file ", f"{name}{sign}"])
             out.append((f"{prose()} {rnd.choice(near)}", value, f" {prose()}", odd, False))
     return out
 
 
-def featured(labelled: list[tuple[str, str, str, str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+def featured(labelled: list[tuple[str, str, str, str, bool]], dictionary: tuple[str, ...] = DICTIONARY) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of findings, with what candidates() says of each where it stands."""
     x, y = [], []
     for before, value, after, path, secret in labelled:
         text, at = before + value + after, len(before)
         c = next((c for c in candidates(text) if c[0] < at + len(value) and c[1] > at), (at, at + len(value), "", False, False))
-        x.append(features(text[c[0] : c[1]], text[max(0, c[0] - 120) : c[0]], text[c[1] : c[1] + 40], path, c[3], c[4]))
+        x.append(features(text[c[0] : c[1]], text[max(0, c[0] - 120) : c[0]], text[c[1] : c[1] + 40], path, c[3], c[4], lexicon(dictionary)))
         y.append(secret)
     return np.array(x), np.array(y)
 
 
 @lru_cache(maxsize=2)
-def default_forest() -> Forest:
-    return Forest(*featured(findings()))
+def default_forest(dictionary: tuple[str, ...] = DICTIONARY) -> Forest:
+    return Forest(*featured(findings(), dictionary))
 
 
-def _scan(texts: list[str | None], paths: list[str | None], forest: Forest, least: float) -> list[list[tuple[int, int, str, float, bool]]]:
+def _scan(texts: list[str | None], paths: list[str | None], forest: Forest, least: float, words: Lexicon) -> list[list[tuple[int, int, str, float, bool]]]:
     """(begin, end, kind, score, secret) of each text's candidates."""
     found = [candidates(t) for t in texts]
-    x = [features(t[b:e], t[max(0, b - 120) : b], t[e : e + 40], p or "", assigned, known) for t, p, cs in zip(texts, paths, found) for b, e, _, assigned, known in cs]
+    x = [features(t[b:e], t[max(0, b - 120) : b], t[e : e + 40], p or "", assigned, known, words) for t, p, cs in zip(texts, paths, found) for b, e, _, assigned, known in cs]
     scores = iter(np.round(forest.score(np.array(x)), 4).tolist() if x else [])
     return [[(b, e, k, s := next(scores), s >= least) for b, e, k, _, _ in cs] for cs in found]
 
@@ -218,21 +244,21 @@ def _paths(part: pa.RecordBatch) -> list[str | None]:
     return part.column("path").to_pylist() if "path" in part.schema.names else [None] * len(part)
 
 
-def scan_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, findings, redacted) for each row of ``docs`` (doc_id, text; path if there is one).
 
     findings is an array of (begin, end, kind, score, secret) in code points; redacted is the text with "[SECRET]" for
-    each secret. A null text has none and stays null; repeated rows give a row each; an empty table gives no rows.
+    each secret. An own forest should be trained from findings featured() with the same dictionary. A null text has none and stays null; repeated rows give a row each; an empty table gives no rows.
     """
-    forest = forest or default_forest()
-    model = docs.sparkSession.sparkContext.broadcast(forest)
+    dictionary = tuple(dictionary)
+    model = docs.sparkSession.sparkContext.broadcast((forest or default_forest(dictionary), lexicon(dictionary)))
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64()), ("secret", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                found = _scan(texts, _paths(part), model.value, least)
+                found = _scan(texts, _paths(part), model.value[0], least, model.value[1])
                 rows = [[dict(zip(("begin", "end", "kind", "score", "secret"), f)) for f in fs] for fs in found]
                 clean = [t if t is None else redact(t, fs) for t, fs in zip(texts, found)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x[4] for x in f) for f in found], pa.int64()), pa.array(rows, kind), pa.array(clean, pa.string())], names=["doc_id", "n_candidates", "n_secrets", "findings", "redacted"])
@@ -249,16 +275,17 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"), F.sha2(F.encode(F.coalesce("redacted", F.lit("")), "UTF-8"), 256).alias("redacted_sha256"))
 
 
-def without_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> DataFrame:
+def without_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
     """``docs`` with all its columns and each secret in text replaced; n_chars, where there is one, is counted again."""
-    model = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    dictionary = tuple(dictionary)
+    model = docs.sparkSession.sparkContext.broadcast((forest or default_forest(dictionary), lexicon(dictionary)))
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                clean = [t if t is None else redact(t, fs) for t, fs in zip(texts, _scan(texts, _paths(part), model.value, least))]
+                clean = [t if t is None else redact(t, fs) for t, fs in zip(texts, _scan(texts, _paths(part), model.value[0], least, model.value[1]))]
                 at = part.schema.get_field_index("text")
                 part = part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
                 if "n_chars" in part.schema.names:
