@@ -139,23 +139,26 @@ def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str
     return joined(cuts.drop("_n"), counts, [*group, "_range"]).withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
-def components(spark: SparkSession, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, root) for every end of the edges (a, b): root is the smallest id that can be reached.
 
-    Each round takes the least root of all neighbours, then the root of one's root, which halves paths; it ends when
-    nothing changes. Least values are combined before the shuffle, so that a hub is no hot key.
+    Each round takes the least root of all neighbours, tells it to one's present root as well, so that whole trees are
+    hooked, and goes on to the root of one's root. Roots only get smaller, and where nothing changes both ends of each
+    edge have the same one: it ends by itself, for long chains too. Least values are combined before the shuffle, so
+    that a hub is no hot key.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     roots = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots.id == near.a).select("id", "root", F.least("root", "near").alias("next"))
+        told = step.where("next < root").groupBy(F.col("root").alias("_of")).agg(F.min("next").alias("_told"))
+        step = step.join(told, step.id == told._of, "left").select("id", "root", F.least("next", "_told").alias("next"))
         up = roots.select(F.col("id").alias("_up"), F.col("root").alias("_top"))
         step = cut(step.join(up, step.next == up._up).select("id", "root", F.least("next", "_top").alias("next")))
         roots, changed = step.select("id", F.col("next").alias("root")), step.where("next <> root").limit(1).count()
         if not changed:
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def hex_unit(value: Column) -> Column:
