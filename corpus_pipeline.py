@@ -17,12 +17,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of similar ones.
+    """Keeps the document with the smallest doc_id of each group of similar ones: 5-word shingles, 80 % in common.
 
     Of rows with one doc_id all stay if their group's name is that id; a document without an id stays if its group has
     no other.
     """
-    found = jaccard_components(docs, 4, 85)
+    found = jaccard_components(docs, 5, 80)
     gone = smaller(cut(found.where("doc_id <> component_id").select("doc_id").distinct()))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

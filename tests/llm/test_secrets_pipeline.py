@@ -90,3 +90,10 @@ def test_whole_values_letters_and_own_words(spark):
     assert got == {1: "token = [SECRET] end", 2: 'password = "[SECRET]" end', 3: rows[2][1], 4: "password = [SECRET] end"}
     own = {r.doc_id: r.findings for r in scan_secrets(df, dictionary=("correct", "horse", "battery", "staple")).collect()}
     assert own[2][0].score != [r for r in scan_secrets(df).collect() if r.doc_id == 2][0].findings[0].score
+
+
+def test_near_duplicates_between_two_rules(spark):
+    text = [f"w{i}" for i in range(100)]  # 96 of 118 5-word shingles, 97 of 119 4-word ones
+    rows = [(1, " ".join(text)), (2, " ".join(text + [f"x{i}" for i in range(22)])), (3, " ".join(text + [f"y{i}" for i in range(30)]))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
