@@ -94,6 +94,27 @@ def not_aligned_gaps(spark, sf_dir):
     return iv.uncovered(_some(spark, sf_dir), sizes, "a_chr", "a_start", "a_end")
 
 
+#: The same over the alignments of all kinds; the three queries above keep to kind < 9, as their SQL does.
+MERGED_ALL = MERGED.replace(" WHERE kind < 9", "")
+
+
+@_query(ALN + MERGED_ALL + "SELECT * FROM merged")
+def merge_ranges_all(spark, sf_dir):
+    return iv.merge_ranges(alignments(spark, sf_dir), ["a_chr"], "a_start", "a_end")
+
+
+@_query(ALN + MERGED_ALL + "SELECT a_chr, CAST(sum(a_end - a_start + 1) AS BIGINT) AS covered FROM merged GROUP BY a_chr")
+def covered_length_all(spark, sf_dir):
+    return iv.covered_length(alignments(spark, sf_dir), ["a_chr"], "a_start", "a_end")
+
+
+@_query(ALN + MERGED_ALL + """, z AS (SELECT a_chr, max(a_end) + 5000 AS size FROM aln GROUP BY a_chr), x AS (SELECT *, lag(a_end) OVER (PARTITION BY a_chr ORDER BY a_start) AS p FROM merged)
+SELECT a_chr, gap_start, gap_end FROM (SELECT a_chr, coalesce(p, 0) + 1 AS gap_start, a_start - 1 AS gap_end FROM x UNION ALL SELECT a_chr, max(a_end) + 1, max(size) FROM merged JOIN z USING (a_chr) GROUP BY a_chr) WHERE gap_start <= gap_end""")
+def not_aligned_gaps_all(spark, sf_dir):
+    aln = alignments(spark, sf_dir)
+    return iv.uncovered(aln, aln.groupBy("a_chr").agg((F.max("a_end") + 5000).alias("size")), "a_chr", "a_start", "a_end")
+
+
 @_query(ALN + """, p AS (SELECT event_id, 'Chr' || (1 + event_id % 5) AS a_chr, 1 + (event_id * 7) % (SELECT max(a_end) FROM aln) AS pos FROM events)
 SELECT aln_id, event_id FROM aln JOIN p ON aln.a_chr = p.a_chr AND pos BETWEEN a_start AND a_end""")
 def point_annotation(spark, sf_dir):
@@ -113,12 +134,22 @@ def interval_overlap(spark, sf_dir):
 @_query(ALN + """SELECT x.aln_id AS i, y.aln_id AS j FROM aln x JOIN aln y ON x.a_chr = y.a_chr AND x.a_chr = x.b_chr AND y.a_chr = y.b_chr AND x.b_dir = 1 AND y.b_dir = 1
 AND y.a_start - x.a_start > 50 AND y.a_end - x.a_end > 50 AND y.b_start - x.b_start > 50 AND y.b_end - x.b_end > 50 AND y.a_start - x.a_end < 1500 AND y.b_start - x.b_end < 1500""")
 def compatible_pairs(spark, sf_dir):
+    return _compatible(spark, sf_dir, 1500, 4096)
+
+
+@_query(ALN + """SELECT x.aln_id AS i, y.aln_id AS j FROM aln x JOIN aln y ON x.a_chr = y.a_chr AND x.a_chr = x.b_chr AND y.a_chr = y.b_chr AND x.b_dir = 1 AND y.b_dir = 1
+AND y.a_start - x.a_start > 50 AND y.a_end - x.a_end > 50 AND y.b_start - x.b_start > 50 AND y.b_end - x.b_end > 50 AND y.a_start - x.a_end < 500000 AND y.b_start - x.b_end < 500000""")
+def compatible_pairs_wide(spark, sf_dir):
+    return _compatible(spark, sf_dir, 500_000, 524_288)  # the reference's default of --tdgaplen
+
+
+def _compatible(spark, sf_dir, gap: int, size: int) -> DataFrame:
+    """Pairs within ``gap``; ``size`` is longer than an alignment and the gap, so that the next bin is the last that can match."""
     a = alignments(spark, sf_dir).where("a_chr = b_chr and b_dir = 1").select("aln_id", "a_chr", "a_start", "a_end", "b_start", "b_end")
-    size = 4096  # longer than an alignment and the gap, so that the next bin is the last that can match
     x = a.select(*[F.col(c).alias(f"x_{c}") for c in a.columns], F.explode(F.sequence(F.floor(F.col("a_start") / size), F.floor(F.col("a_start") / size) + 1)).alias("bin"))
     y = a.withColumn("bin", F.floor(F.col("a_start") / size))
     near = x.join(y, (x.bin == y.bin) & (x.x_a_chr == y.a_chr))
-    return near.where("a_start - x_a_start > 50 AND a_end - x_a_end > 50 AND b_start - x_b_start > 50 AND b_end - x_b_end > 50 AND a_start - x_a_end < 1500 AND b_start - x_b_end < 1500").select(F.col("x_aln_id").alias("i"), F.col("aln_id").alias("j"))
+    return near.where(f"a_start - x_a_start > 50 AND a_end - x_a_end > 50 AND b_start - x_b_start > 50 AND b_end - x_b_end > 50 AND a_start - x_a_end < {gap} AND b_start - x_b_end < {gap}").select(F.col("x_aln_id").alias("i"), F.col("aln_id").alias("j"))
 
 
 PAIRS = ALN + """, f AS (SELECT *, max(a_end) OVER (PARTITION BY a_chr, b_chr ORDER BY a_start, a_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM aln),
@@ -225,6 +256,13 @@ def indel_size_filter(spark, sf_dir):
     return va.indel_size_filter(v, 2, 3).select("chrom", "pos", "ref", "alt")
 
 
+@_query(VCF + " z AS (SELECT side, chrom, pos, ref, alt FROM u) SELECT * FROM z WHERE (length(ref) = 1 AND length(alt) = 1) OR (length(ref) BETWEEN 2 AND 3 AND length(alt) BETWEEN 2 AND 3)")
+def indel_size_filter_all(spark, sf_dir):
+    """As indel_size_filter, over the variants of both sides."""
+    both = [_variants(spark, sf_dir, side).withColumn("side", F.lit(side)) for side in (0, 1)]
+    return va.indel_size_filter(both[0].unionByName(both[1]).withColumn("alts", F.array("alt")), 2, 3).select("side", "chrom", "pos", "ref", "alt")
+
+
 _KINDS = "'SYN','INV','TRANS','INVTR','DUP','INVDP','INS','DEL','SNP','HDR','TDM','CPG','CPL'"
 
 
