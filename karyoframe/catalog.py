@@ -232,6 +232,13 @@ def revcomp(spark, sf_dir):
     return d.select("doc_id", reverse_complement(F.col("text")).alias("rc"), slice_1based(F.col("text"), F.lit(11), F.lit(40)).alias("part"), F.translate(F.substring("text", 1, 200), "RYSWKMBDHVN", "ACCAGACAAAA").alias("plain"))
 
 
+@_query("SELECT doc_id, translate(text, 'RYSWKMBDHVN', 'ACCAGACAAAA') AS plain FROM documents")
+def iupac_collapse(spark, sf_dir):
+    """The column ``plain`` of revcomp over whole texts; there it is over the first 200 characters, as in its SQL."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.translate("text", "RYSWKMBDHVN", "ACCAGACAAAA").alias("plain"))
+
+
 VCF = """WITH v AS (SELECT o_orderkey AS k, 'Chr' || (1 + o_orderkey % 5) AS chrom, CAST(o_orderkey // 7 AS BIGINT) AS pos, substr('ACGTTGCA', CAST(1 + (o_orderkey // 7) % 5 AS INT), CAST(1 + o_orderkey % 3 AS INT)) AS ref, substr('GATTACAC', CAST(1 + o_orderkey % 4 AS INT), CAST(1 + o_orderkey % 2 AS INT)) AS alt FROM orders),
 s AS (SELECT DISTINCT k % 2 AS side, chrom, pos, ref, alt FROM v), u AS (SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY side, chrom, pos) = 1),"""
 

@@ -37,3 +37,5 @@ def test_whole_tables(spark):
     assert covered == {c: len({x for a in aln if a.a_chr == c for x in range(a.a_start, a.a_end + 1)}) for c in covered}
     gaps = catalog.not_aligned_gaps_all(spark, DATA).collect()
     assert gaps and not any(a.a_chr == g.a_chr and a.a_start <= g.gap_end and g.gap_start <= a.a_end for g in gaps for a in aln)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert max(map(len, texts.values())) > 200 and all(len(r.plain) == len(texts[r.doc_id]) for r in catalog.iupac_collapse(spark, DATA).collect())
