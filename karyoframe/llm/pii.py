@@ -1,7 +1,8 @@
 """Surrogates for personal data, in DataFrame and SQL functions only.
 
 Entities are found by one pattern. Each gets a replacement that depends on a key, its kind and its canonical form alone,
-so that the same entity has the same surrogate wherever it stands and however it is written: digits go into the layout of
+so that the same entity has the same surrogate wherever it stands and in whatever layout (a name in another form, such as
+the surname alone, counts as another entity, and names without a title are not found): digits go into the layout of
 the original, letters keep their script and case, names keep their title and its gender, card numbers stay valid.
 Before anything is replaced, the surrogates of all distinct entities are checked: one that two entities would share, or
 that is itself an entity of the table, is drawn again until there is none.
@@ -39,6 +40,9 @@ SYLLABLES = {
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _WORD = r"[\p{Lu}][\p{L}]++"
+#: What may stand before a word of a name: initials and particles.
+_BEFORE = r"(?:\p{Lu}\. ?|(?:van|von|vom|zu|zum|zur|der|den|ter|ten|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|bin|ibn|y|e) |[dDlLO]['’](?=\p{Lu}))*"
+_NAMED = rf"{_BEFORE}{_WORD}(?:-{_WORD})*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FREE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
@@ -49,7 +53,7 @@ KINDS = {
     "card": rf"{_FREE}(?:\d{{4}}[ \-]\d{{4}}[ \-]\d{{4}}[ \-]\d{{4}}|\d{{13,19}}){_END}",
     "iban": rf"{_FREE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "phone": rf"{_FREE}(?:\+\d{{1,3}}[ .\-]?)?(?:\(\d{{2,4}}\)[ .\-]?|\d{{2,4}}[ .\-])\d{{3,4}}[ .\-]\d{{3,4}}{_END}",
-    "name": rf"{_FREE}(?:{'|'.join((*HE, *SHE, *ANY))})(?:\. ?| ){_WORD}(?:-{_WORD})?(?: {_WORD}(?:-{_WORD})?)?",
+    "name": rf"{_FREE}(?:{'|'.join((*HE, *SHE, *ANY))})(?:\. ?| ){_NAMED}(?: {_NAMED})*",
 }
 PATTERN = "|".join(KINDS.values())
 
@@ -127,8 +131,8 @@ def _letters(c: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), one), "")
 
 
-def replaced(c: Column, kind: Column, h: Column) -> Column:
-    """The canonical form of the surrogate, from the entity's stream."""
+def replaced(c: Column, kind: Column, h: Column, attempt: Column) -> Column:
+    """The canonical form of the surrogate, from the entity's stream. Each new attempt adds a syllable to a surname, so that there are always enough."""
     figures = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x, i: _pick("0123456789", _number(h, i))), "")
     body = F.concat(F.substring(c, 1, 1), figures(F.substring(c, F.lit(2), F.length(c) - 2)))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
@@ -137,8 +141,9 @@ def replaced(c: Column, kind: Column, h: Column) -> Column:
     gender, script = F.substring_index(c, ":", 1), _script(c)
     names = F.substring_index(c, ":", -1)
     first, last = F.lit(None).cast("string"), F.lit(None).cast("string")
+    more = lambda s: F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(7), attempt + 6), lambda k: _pick(SYLLABLES[s], _number(h, k))), "")).otherwise("")
     for s in SYLLABLES:
-        sounds = F.initcap(F.concat(*[_pick(SYLLABLES[s], _number(h, F.lit(k))) for k in range(3, 7)]))
+        sounds = F.initcap(F.concat(*[_pick(SYLLABLES[s], _number(h, F.lit(k))) for k in range(3, 7)], more(s)))
         last = F.when(script == s, sounds).otherwise(last)
         for g in ("he", "she", "any"):
             first = F.when((script == s) & (gender == g), _pick(FIRST[s, g], _number(h, F.lit(0)))).otherwise(first)
@@ -187,7 +192,7 @@ def entities(docs: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     e = e.withColumn("kind", kind_of(F.col("e"))).where("kind is not null")
     ents = e.select("kind", canonical(F.col("e"), F.col("kind")).alias("canon")).distinct().withColumn("attempt", F.lit(0))
     stream = _stream(F.col("canon"), F.col("kind"), F.col("attempt"), key)
-    made = lambda d: d.withColumn("_h", stream).withColumn("surrogate", replaced(F.col("canon"), F.col("kind"), F.col("_h"))).drop("_h")
+    made = lambda d: d.withColumn("_h", stream).withColumn("surrogate", replaced(F.col("canon"), F.col("kind"), F.col("_h"), F.col("attempt"))).drop("_h")
     ents = cut(made(ents))
     for _ in range(rounds):
         again = cut(_collided(ents))
@@ -231,7 +236,7 @@ def with_surrogates(docs: DataFrame, key: str = "k1") -> DataFrame:
     step("canon", lambda x: canonical(x["e"], x["kind"]))
     step("attempt", lambda x: F.coalesce(F.col("_told")[F.concat(x["kind"], F.lit("\u0001"), x["canon"])], F.lit(0)))
     step("h", lambda x: _stream(x["canon"], x["kind"], x["attempt"], key))
-    step("s", lambda x: replaced(x["canon"], x["kind"], x["h"]))
+    step("s", lambda x: replaced(x["canon"], x["kind"], x["h"], x["attempt"]))
     step("new", lambda x: F.when(x["kind"].isNull(), x["e"]).otherwise(_laid_out(x["e"], x["s"], x["kind"])))
     found = F.size("_found") > 0
     gaps = F.split(F.col("text"), PATTERN, -1)

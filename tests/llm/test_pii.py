@@ -1,6 +1,8 @@
 import re
 
-from karyoframe.llm.pii import entities, with_surrogates
+from pyspark.sql import functions as F
+
+from karyoframe.llm.pii import entities, replaced, with_surrogates
 
 ROWS = [
     (1, "Mail Ana.López42@Mail7.example.com or (499) 555-6503, +1 (017) 555-7713 from 157.212.123.28!"),
@@ -55,3 +57,17 @@ def test_collisions_are_drawn_again(spark):
     for r in with_surrogates(df).collect():
         mails = re.findall(r"\S+@\S+?(?=,|$)", r.text)
         assert mails == [made["email", x] for x in re.findall(r"\S+@\S+?(?=,|$)", rows[r.doc_id][1])]
+
+
+def test_names_of_any_length(spark):
+    names = ["Mr. Juan Carlos Garcia", "Mr Ludwig van Beethoven", "Mr J. Smith", "Mrs A. B. Jones-Miller-Brown", "Frau von der Leyen", "Dr Mary O'Neill", "Mr José María de la Cruz Ortega"]
+    rows = [(i, f"so {n}, who left") for i, n in enumerate(names)]
+    for r in with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        title = names[r.doc_id].split()[0]
+        assert r.n_entities == 1 and re.fullmatch(rf"so {title} [A-Z][a-z]+(?: [A-Z][a-z]+)?, who left", r.text), r.text
+
+
+def test_surnames_grow_with_attempts(spark):
+    df = spark.range(3).withColumn("h", F.repeat(F.sha2(F.lit("x"), 512), 2))
+    made = df.select(replaced(F.lit("he:smith"), F.lit("name"), F.col("h"), F.col("id").cast("int")).alias("s")).collect()
+    assert [len(r.s) for r in made] == [11, 13, 15]
