@@ -44,6 +44,8 @@ class RankMerger:
             raise ValueError("only plain added tokens without spaces are supported")
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))) if spec["added_tokens"] else None
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.sign = "<" if all("<" in t for t in added) else ""  # what every added token has
         self.pattern, self.plain = regex.compile(PATTERN), regex.compile(r"[\x00-ɏ‐-‧]*")
         vocab, letters = model["vocab"], byte_symbols()
         self.base = np.zeros(256, dtype=np.int64)
@@ -144,7 +146,7 @@ class RankMerger:
         """Tokens of each chunk."""
         tokens, owner, extra = [], [], [0] * len(chunks)
         # chunks without inner white space are split together, with a line end between them, which is a token of its own
-        easy = [bool(self.simple(c)) and not (self.special and "<" in c) and self.plain.fullmatch(c) is not None for c in chunks]
+        easy = [bool(self.simple(c)) and not (self.special and self.sign in c) and self.plain.fullmatch(c) is not None for c in chunks]
         together = [i for i, e in enumerate(easy) if e]
         at = iter(together)
         for part in self.pattern.findall("".join([chunks[i] + "\n" for i in together])):
@@ -161,7 +163,7 @@ class RankMerger:
             if easy[i]:
                 continue
             pieces = [chunk]
-            if self.special and "<" in chunk and self.special.search(chunk):
+            if self.special and self.sign in chunk and self.special.search(chunk):
                 extra[i], pieces = len(self.special.findall(chunk)), self.special.split(chunk)
             for piece in pieces:
                 got = self.split(piece)

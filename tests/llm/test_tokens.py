@@ -60,3 +60,13 @@ def test_frames(spark):
         n = len(m.library.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 1024)
     assert count_tokens(df.limit(0), BYTES).count() == 0 and digest_texts(df.limit(0), PIECE).count() == 0
+
+
+def test_added_tokens_of_any_form(tmp_path):
+    import json
+
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50257, "content": "[END]"})
+    json.dump(spec, open(f"{tmp_path}/own.json", "w", encoding="utf-8"))
+    m, texts = merger(f"{tmp_path}/own.json"), ["a[END]b", "[END] [END]x <|endoftext|>", "[END", "", "[END]"]
+    assert m.batch(texts) == [len(m.library.encode(t, add_special_tokens=False).ids) for t in texts]
