@@ -26,9 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one is made only where the session names none."""
+    """The folder that the driver and all executors see, as spark.checkpoint.dir names it.
+
+    Where the session names none, a local master gets a folder of its own; on a cluster that is an error, since
+    executors would not see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="karyoframe-")
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -63,6 +69,14 @@ def smaller(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A beginning of names that none of the columns has."""
+    own = "_"
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    return own
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch with about ``most`` bytes of text; a longer text is a part of its own."""
     col, start, held = batch.column(text), 0, 0

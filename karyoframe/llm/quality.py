@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, trimmed
-from .shingles import _WORDS
+from .common import free_prefix, slices, small_batches, trimmed
+from .shingles import BLOCK_BYTES, SEPARATOR, mix64, windows, words_of
 
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 WINDOW = 8
@@ -41,66 +41,107 @@ RATES = {
 MAX_LABELS = 20_000
 
 
-def text_stats(texts: list[str | None]) -> np.ndarray:
-    """Counts of each text, a row each. Words are runs of anything but the bytes 0x20 and 0x09-0x0D."""
-    texts = [t or "" for t in texts]
-    data = [t.encode("utf-8", "replace") for t in texts]
-    words = [b.split() for b in data]
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    values = _WORDS.values([w for ws in words for w in ws])
-    n = len(values)
-    padded = np.concatenate((values, np.zeros(WINDOW, dtype=np.uint64)))
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(WINDOW):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += padded[k : k + n]
-    out = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
-    begin = 0
-    for i, (t, b, ws, size) in enumerate(zip(texts, data, words, sizes.tolist())):
-        part = np.sort(h[begin : begin + max(0, size - WINDOW + 1)])
-        repeated = _repeat_words(ws) if len(part) and (part[1:] == part[:-1]).any() else 0
-        own = np.sort(values[begin : begin + size])
-        distinct = int((own[1:] != own[:-1]).sum()) + 1 if size else 0
-        begin += size
-        lines = [x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
-        lone = sum(ws.count(x) for x in (b"|", b"-", b"*"))
-        held = sum(map(len, ws)) if t.isascii() else sum(len(w.decode("utf-8", "replace")) for w in ws)
-        of = lambda kind: len(b) - len(b.translate(None, kind))  # noqa: B023, E731
-        out[i] = (size, held, of(_SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), of(_UPPER), b.count(b"!"), of(_DIGITS), b.count(b"|"), distinct, lone, b.count(b"\n"))
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each text has each byte: a row of 256 for each."""
+    n = len(offsets) - 1
+    out = np.zeros((n, 256), dtype=np.int64)
+    for p in range(0, len(data), BLOCK_BYTES):
+        q = min(len(data), p + BLOCK_BYTES)
+        i, j = int(np.searchsorted(offsets, p, side="right")) - 1, int(np.searchsorted(offsets, q, side="left"))
+        lengths = np.minimum(offsets[i + 1 : j + 1], q) - np.maximum(offsets[i:j], p)
+        key = np.repeat(np.arange(j - i) << 8, lengths)
+        key += data[p:q]
+        out[i:j] += np.bincount(key, minlength=(j - i) << 8).reshape(-1, 256)
     return out
 
 
-def _repeat_words(words: list[bytes]) -> int:
-    """Words that stand in a window of 8 words which the text has twice or more."""
+def _twice(text: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which entries have a value that their text has twice or more."""
+    key = mix64(values ^ mix64(text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    out = np.zeros(len(key), dtype=bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def text_stats(texts: pa.Array | list[str | None]) -> np.ndarray:
+    """Counts of each text, a row each. Words are runs of anything but the bytes 0x20 and 0x09-0x0D.
+
+    Repeated lines and windows are looked for by 64-bit values and then counted by the bytes themselves.
+    """
+    words = words_of(texts)
+    sizes, n = words.counts, len(words.counts)
+    bytes_ = byte_counts(words.data, words.offsets)
+    of = lambda kind: bytes_[:, list(kind)].sum(axis=1)
+    spaces, follow = bytes_[:, SEPARATOR].sum(axis=1), bytes_[:, 0x80:0xC0].sum(axis=1)
+    # distinct words, and windows of words that stay within their text
+    key = np.sort(mix64(words.values ^ mix64(words.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+    distinct = sizes.copy()
+    if len(key) and (key[1:] == key[:-1]).any():
+        order = np.lexsort((words.values, words.text))
+        v, t = words.values[order], words.text[order]
+        distinct = np.bincount(t[np.concatenate(([True], (v[1:] != v[:-1]) | (t[1:] != t[:-1])))], minlength=n)
+    begin = words.first()
+    whole = np.flatnonzero(np.arange(len(words.values)) + WINDOW <= (begin + sizes)[words.text])
+    twice = whole[_twice(words.text[whole], windows(words.values, WINDOW)[whole])]
+    repeated = np.zeros(n, dtype=np.int64)
+    for i, at in _by_text(words.text[twice], twice):
+        repeated[i] = _repeat_words(words.raw(i).split(), (at - begin[i]).tolist())
+    # lines that have a word, told apart by their first and last word, their words and their length
+    breaks = np.flatnonzero(words.data == 10)
+    line = np.searchsorted(breaks, words.starts) + words.text  # another text, another line
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, dtype=np.int64)
+    last = np.concatenate((first[1:], [len(line)])) - 1 if len(first) else first
+    lines = np.bincount(words.text[first], minlength=n)
+    mark = mix64(words.values[first]) + words.values[last] * np.uint64(3) + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    copies = np.zeros(n, dtype=np.int64)
+    for i, _ in _by_text(*(2 * [words.text[first][_twice(words.text[first], mark)]])):
+        held = [x for x in words.raw(i).split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
+        copies[i] = len(held) - len(set(held))
+    lone = np.bincount(words.text[(words.sizes == 1) & np.isin(words.data[words.starts], np.frombuffer(b"|-*", np.uint8))], minlength=n)
+    return np.stack((sizes, np.diff(words.offsets) - spaces - follow, of(_SYMBOLS), copies, repeated, lines, of(_UPPER), of(b"!"), of(_DIGITS), of(b"|"), distinct, lone, of(b"\n")), axis=1).astype(np.int64)
+
+
+def _by_text(text: np.ndarray, values: np.ndarray):
+    """(text, its values) of each text; ``text`` ascends."""
+    cuts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else []
+    for a, b in zip(cuts, [*cuts[1:], len(text)]):
+        yield int(text[a]), values[a:b]
+
+
+def _repeat_words(words: list[bytes], maybe: list[int]) -> int:
+    """Words that stand in a window of 8 words which the text has twice or more; ``maybe`` are where such ones may begin."""
     first: dict[tuple, int] = {}
     inside = np.zeros(len(words) + 1, dtype=np.int64)
-    for i in range(len(words) - WINDOW + 1):
-        window = tuple(words[i : i + WINDOW])
-        at = first.setdefault(window, i)
+    counted = set()
+    for i in maybe:
+        at = first.setdefault(tuple(words[i : i + WINDOW]), i)
         if at != i:
-            for k in {at, i}:
-                inside[k] += 1
-                inside[k + WINDOW if k + WINDOW < len(inside) else -1] -= 1
+            counted |= {at, i}
+    for k in counted:
+        inside[k] += 1
+        inside[k + WINDOW] -= 1
     return int((np.cumsum(inside[:-1]) > 0).sum())
 
 
-def with_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` and the counts of its text."""
-    at = "text" if "text" in carry and dict(docs.dtypes)["text"] == "string" else "_text"  # a text travels once
-    kept = docs.select(*carry) if at == "text" else docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*carry).schema] + [f"_{c} long" for c in COUNTS])
+def with_stats(docs: DataFrame, carry: list[str], own: str = "_") -> DataFrame:
+    """The columns ``carry`` of ``docs`` and the counts of its text, each named with ``own`` in front."""
+    at = "text" if "text" in carry and dict(docs.dtypes)["text"] == "string" else f"{own}text"  # a text travels once
+    kept = docs.select(*carry) if at == "text" else docs.select(*carry, F.col("text").cast("string").alias(at))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*carry).schema] + [f"`{own}{c}` long" for c in COUNTS])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, at):
-                stats = text_stats(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *[pa.array(stats[:, k]) for k in range(len(COUNTS))]], names=[*carry, *[f"_{c}" for c in COUNTS]])
+            for part in slices(batch, at, 1 << 20):
+                stats = text_stats(part.column(at))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *[pa.array(stats[:, k]) for k in range(len(COUNTS))]], names=[*carry, *[f"{own}{c}" for c in COUNTS]])
 
     return small_batches(kept).mapInArrow(trimmed(run), schema)
 
 
-def base_failed() -> Column:
-    return F.expr("_n_words < 20 or 100 * _n_repeat_words > 30 * _n_words")
+def base_failed(own: str = "_") -> Column:
+    return F.expr(f"`{own}n_words` < 20 or 100 * `{own}n_repeat_words` > 30 * `{own}n_words`")
 
 
 def rates(stats: pd.DataFrame) -> pd.DataFrame:
@@ -108,9 +149,9 @@ def rates(stats: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: 1000 * stats[f"_{a}"] // stats[f"_{b}"].clip(lower=1) for k, (a, b) in RATES.items()})
 
 
-def rate(name: str) -> Column:
+def rate(name: str, own: str = "_") -> Column:
     a, b = RATES[name]
-    return F.expr(f"1000 * _{a} div greatest(_{b}, 1)")
+    return F.expr(f"1000 * `{own}{a}` div greatest(`{own}{b}`, 1)")
 
 
 @dataclass(frozen=True)
@@ -125,10 +166,10 @@ class Rule:
             out &= (x[name].to_numpy() >= value) if least else (x[name].to_numpy() <= value)
         return out
 
-    def column(self) -> Column:
+    def column(self, own: str = "_") -> Column:
         out = F.lit(True)
         for name, least, value in self.tests:
-            out = out & ((rate(name) >= value) if least else (rate(name) <= value))
+            out = out & ((rate(name, own) >= value) if least else (rate(name, own) <= value))
         return out
 
 
@@ -200,23 +241,27 @@ def learn_rules(x: pd.DataFrame, bad: np.ndarray, least_precision: float = 0.97,
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], own: str = "_") -> Column:
     """True for texts to keep: the decision list as an ordered conditional expression."""
-    out = F.when(base_failed(), F.lit(False))
+    out = F.when(base_failed(own), F.lit(False))
     for rule in rules:
-        out = out.when(rule.column(), F.lit(False))
+        out = out.when(rule.column(own), F.lit(False))
     return out.otherwise(F.lit(True))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> pd.DataFrame:
-    """Counts and labels (_bad) of at most ``most`` labelled documents, ordered by a digest of doc_id."""
+    """Counts and labels (_bad) of at most ``most`` labelled doc_ids, ordered by a digest of doc_id.
+
+    Of rows that share a doc_id those with the least counts stand for it, so that there is a row for each id at most.
+    """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     marks = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     rows = with_stats(docs.join(F.broadcast(marks), "doc_id").select("doc_id", "_quality", "text"), ["doc_id", "_quality"])
-    out = rows.limit(2 * most).toPandas()
+    rows = rows.groupBy("doc_id", "_quality").agg(F.min(F.struct(*[f"_{c}" for c in COUNTS])).alias("_s"))
+    out = rows.select("doc_id", "_quality", "_s.*").toPandas()
     out["_bad"] = out["_quality"] == 0
     digest = out["doc_id"].astype(str).map(lambda d: hashlib.md5(d.encode()).hexdigest())
-    return out.assign(_digest=digest).sort_values(["_digest", *[f"_{c}" for c in COUNTS]], ignore_index=True)
+    return out.assign(_digest=digest).sort_values(["_digest", "doc_id"], ignore_index=True)
 
 
 def rules_from(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> list[Rule]:
@@ -239,6 +284,7 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the rules keep."""
+    """The rows of ``docs``, with all their columns, that the rules keep; nulls, repeated rows and labels as in judge()."""
     rules = rules_from(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, most)
-    return with_stats(docs, docs.columns).where(verdict(rules)).select(*docs.columns)
+    own = free_prefix(docs.columns)
+    return with_stats(docs, docs.columns, own).where(verdict(rules, own)).select(*docs.columns)
