@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, scratch_path, slices, without_gc
+from .common import cut, scratch_path, slices, small_batches, trimmed, without_gc
+from .shingles import run_values, text_bytes
 
 #: Fixed values of the seekable format: magic numbers of its skippable frame and footer; and of the frame of ids here.
 SEEK_FRAME, SEEK_FOOTER, ID_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -100,42 +101,204 @@ class Reader:
             k = j
 
 
-class ChunkEncoder:
-    """The library's ids of whole texts, from a memo of the chunks between spaces and line ends.
+#: Places of the table of known parts, as a power of two.
+TABLE_BITS = 21
+#: Classes of bytes: white space, letters, digits, marks that are a pre-token of their own kind, and others.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+_CLASS = np.full(256, OTHER, dtype=np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[48:58] = DIGIT
+_CLASS[[b for b in b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = MARK  # not ' and <, which begin contractions and added tokens
+
 
-    For vocabularies whose normaliser and splitter treat such chunks independently: white space is dropped, and no
-    pre-token or added token reaches across it. ``most`` chunks are kept before the memo starts anew.
+class ChunkEncoder:
+    """The library's ids of whole texts, from a memo of the parts that it treats independently.
+
+    For vocabularies whose normaliser and splitter drop white space and let no pre-token or added token reach across it.
+    A chunk between white space that has only letters (A-Z, and those of Latin-1 as two bytes), digits and plain marks is
+    cut into runs of letters, runs of marks and single digits, which are pre-tokens; any other chunk is a part as it is.
+    Parts are told apart by a 64-bit value of their bytes, letters in lower case, so that a text's parts are looked up
+    with numpy. New runs of letters go to the library joined by spaces, many at a time: an id that ends a word tells
+    where the next begins. Other new parts go there one by one. ``most`` parts are kept before the memo starts anew.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, longest: int = 128):
         import json
+        import os
 
         import tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core already
         spec = json.load(open(path, encoding="utf-8"))
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        added = [t["content"] for t in spec["added_tokens"]]
         self.apart = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
+        # runs of letters and of marks are pre-tokens where the splitter has them so; an added token must hold a byte of class OTHER
+        suffix, pattern = spec["model"].get("end_of_word_suffix"), (split.get("pattern") or {}).get("Regex", "")
+        self.joins = bool(self.apart and suffix and pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+") and all("<" in t or "'" in t for t in added))
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.most, self.longest, self.memo = most, longest, {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
+        if self.joins:
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.most, self.longest = most, longest
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # a part's number by its value; for most parts also in one of two places of a table
+        self.keys, self.numbers = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.n, self.held = 0, 0
+        self.at, self.sizes, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _keep(self, values: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers new parts, with their ids on end."""
+        n, held = self.n + len(sizes), self.held + len(ids)
+        for name, need in (("at", n), ("sizes", n), ("ids", held)):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.at[self.n : n] = self.held + np.cumsum(sizes) - sizes
+        self.sizes[self.n : n] = sizes
+        self.ids[self.held : held] = ids
+        self.known.update(zip(values, range(self.n, n)))
+        self.n, self.held = n, held
+
+    def _places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - TABLE_BITS)
+        return (values >> shift).astype(np.int64), ((values * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+    def _tabled(self, values: np.ndarray) -> np.ndarray:
+        """Numbers of the parts that the table has, -1 for others."""
+        one, two = self._places(values)
+        out = np.where(self.keys[one] == values, self.numbers[one], -1)
+        rest = np.flatnonzero(out < 0)
+        two = two[rest]
+        out[rest] = np.where(self.keys[two] == values[rest], self.numbers[two], -1)
+        return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def _put(self, values: np.ndarray) -> None:
+        """Puts known parts into the table where a place is free."""
+        numbers = np.fromiter(map(self.known.__getitem__, values.tolist()), np.int32, len(values))
+        for k in (0, 1):
+            place = self._places(values)[k]
+            free = np.flatnonzero(self.keys[place] == 0)
+            at, which = np.unique(place[free], return_index=True)
+            self.keys[at], self.numbers[at] = values[free[which]], numbers[free[which]]
+            values, numbers = np.delete(values, free[which]), np.delete(numbers, free[which])
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, values: list[int], words: list[bytes], step: int = 512) -> None:
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
+            ids = np.array(self._ids([b" ".join(part).decode("utf-8")])[0], dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                self._keep(values[k : k + step], ids, np.diff(cuts, prepend=0))
+            else:
+                self._learn(values[k : k + step], part)
+
+    def _learn(self, values: list[int], parts: list[bytes]) -> None:
+        ids = self._ids([p.decode("utf-8") for p in parts])
+        self._keep(values, np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64))
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, classes, starts, ends) of all parts; letters of parts that are no chunks as they are have lower case."""
+        kind = _CLASS[data]
+        n = len(data)
+        if n > 1 and self.joins:
+            # the letters of Latin-1 but for the signs of multiplication and division; their capitals lie 32 below
+            pair = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] & 0xC0) == 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+            kind[pair] = kind[pair + 1] = LETTER
+        inside = kind != SPACE
+        held = np.flatnonzero(np.diff(offsets))
+        first = np.ones(n, dtype=bool)
+        np.logical_not(inside[:-1], out=first[1:])
+        first[offsets[held]] = True
+        first &= inside
+        chunk = np.cumsum(first) - 1  # of each byte
+        starts = np.flatnonzero(first)
+        odd = np.zeros(len(starts), dtype=bool)
+        if self.joins:
+            odd[chunk[kind == OTHER]] = True
+            plain = inside & ~odd[chunk] if len(starts) else inside
+            low = data.copy()
+            low[plain & (data >= 65) & (data <= 90)] += 32
+            if n > 1:
+                high = pair[(data[pair + 1] < 0x9F) & plain[pair]] + 1
+                low[high] += 32
+            cut = np.zeros(n, dtype=bool)
+            cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+            starts = np.flatnonzero(first | (cut & plain))
+            kind = np.where(plain, kind, OTHER)
+        else:
+            low, kind = data, np.full(n, OTHER, np.uint8)
+        # a part ends where the next byte begins another, is white space or belongs to the next text
+        stop = np.append(starts[1:], n) if len(starts) else starts
+        gap = np.cumsum(~inside)
+        ends = stop - (gap[stop - 1] - gap[starts]) if len(starts) else starts
+        return low, kind, starts, ends
+
+    def _looked_up(self, values: np.ndarray, kind: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of parts, learned where they are new."""
+        distinct, one, number = np.unique(values, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        new = [k for k, v in enumerate(keys) if v not in self.known]
+        if new:
+            where = one[new]
+            letters = kind[where] == LETTER
+            got = [low[a:b].tobytes() for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+            for some, learn in ((letters, self._learn_words), (~letters, self._learn)):
+                which = np.flatnonzero(some).tolist()
+                if which:
+                    learn([keys[new[k]] for k in which], [got[k] for k in which])
+        out = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if new:
+            short = ends[where] - starts[where] <= self.longest
+            self._put(distinct[new][short])
+            for k in np.flatnonzero(~short).tolist():
+                del self.known[keys[new[k]]]
+        return out[number]
+
+    def arrays(self, texts: pa.Array | list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids on end, and where each text's begin in them; with ``end_id`` behind each text."""
+        n = len(texts)
         if not self.apart:
-            return self._ids([t or "" for t in texts])
-        if len(self.memo) > self.most:
-            self.memo = {"": b""}
-        cut, known = [(t or "").replace("\n", " ").split(" ") for t in texts], self.memo
-        new = list(dict.fromkeys([p for parts in cut for p in parts if p not in known]))
-        known.update(zip(new, self._ids(new)))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > self.longest:
-                del known[p]
-        return out
+            each = self._ids([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
+            ids, counts = np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64)
+        else:
+            data, offsets = text_bytes(texts)
+            low, kind, starts, ends = self._parts(data, offsets)
+            inside = np.zeros(len(data), dtype=bool)
+            inside[np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts) + np.arange(int((ends - starts).sum()))] = True
+            values = np.maximum(run_values(low, inside, starts, ends), np.uint64(1))  # 0 is a free place
+            if len(self.known) > self.most or self.held > 8 * self.most:
+                self._forget()
+            part = self._tabled(values).astype(np.int64)
+            rest = np.flatnonzero(part < 0)
+            if len(rest):
+                part[rest] = self._looked_up(values[rest], kind[starts[rest]], low, starts[rest], ends[rest])
+            sizes = self.sizes[part]
+            before = np.cumsum(sizes) - sizes
+            ids = self.ids[np.repeat(self.at[part] - before, sizes) + np.arange(int(sizes.sum()))]
+            total = np.concatenate((before, [int(sizes.sum())]))
+            counts = np.diff(total[np.searchsorted(starts, offsets, side="left")])
+        if end_id is None:
+            return ids, np.concatenate(([0], np.cumsum(counts)))
+        begins = np.concatenate(([0], np.cumsum(counts + 1)))
+        out = np.full(int(begins[-1]), end_id, dtype=np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids
+        return out, begins
+
+    def batch(self, texts: pa.Array | list[str | None], end_id: int | None = None) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, begins = self.arrays(texts, end_id)
+        data, at = ids.astype("<u4").tobytes(), (4 * begins).tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 @lru_cache(maxsize=4)
@@ -143,67 +306,60 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, per_file: int = 20_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, per_file: int = 20_000, part_bytes: int = 64 << 20) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text), each document's with ``end_id`` behind, and returns the files' list.
 
     (part, number, path, n_docs, n_tokens); files follow each other in ascending doc_id by (part, number), nulls first
-    and rows with equal doc_id by the checksum of their ids. Texts are encoded and compressed where they are read; only
-    frames are shuffled. A file gets a name of its own in each attempt and is listed only by the attempt that counts, so
-    that a lost executor's tasks can be run again. A null text is empty. Other columns are not read.
+    and rows with equal doc_id by a digest of their texts. Texts are dealt to tasks by ranges of about ``part_bytes``,
+    whose bounds Spark samples, and are sorted, encoded, compressed and written there, ``per_file`` in a file at most. The digest and the row's place
+    belong to the range's key, so that one id on many rows, null included, is no hot task. A file gets a name of its own
+    in each attempt and is listed only by the attempt that counts, so that a lost executor's tasks can be run again. A
+    null text is empty, repeated rows are written each, an empty table gives no files. Other columns are not read.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = docs.count()
-    parts = max(1, -(-total // per_file))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("plain", pa.int64()), ("crc", pa.int64()), ("sum", pa.int64()), ("frame", pa.binary())])
-
-    def encode(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for part in slices(batch):
-                with without_gc():
-                    data = [x + end for x in enc.batch(part.column("text").to_pylist())]
-                ids = part.column("doc_id")
-                at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="right"))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, pa.array([len(x) for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in data], pa.int64()), pa.array(list(map(frame, data)), pa.binary())], schema=schema)
-
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-total // part_bytes))
     listed = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches):
+        from pyspark import TaskContext
+
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         fs, base = pa.fs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        state: dict = {"part": None, "out": None, "number": 0}
+        state: dict = {"out": None}
         files: list[tuple] = []
 
         def close() -> None:
             if state["out"] is not None:
                 state["out"].write(tail(state["ids"], state["packed"], state["plain"], state["sums"]))
                 state["out"].close()
-                files.append((state["part"], state["number"], f"{folder}/{state['name']}", len(state["ids"]), sum(state["plain"]) // 4))
+                files.append((part, len(files), f"{folder}/{state['name']}", len(state["ids"]), sum(state["plain"]) // 4))
                 state["out"] = None
-                state["number"] += 1
 
         for batch in batches:
-            for p, d, n, s, f in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "plain", "sum", "frame"))):
-                if p != state["part"]:
-                    close()
-                    state |= {"part": p, "number": 0}
-                if state["out"] is None:
-                    name = f"part-{p:06d}-{state['number']:04d}-{uuid.uuid4().hex}.tok"
-                    state |= {"name": name, "out": fs.open_output_stream(f"{base}/{name}"), "ids": [], "packed": [], "plain": [], "sums": [], "size": 0}
-                state["out"].write(f)
-                for key, v in (("ids", d), ("packed", len(f)), ("plain", n), ("sums", s)):
-                    state[key].append(v)
-                state["size"] += len(f)
-                if state["size"] >= FILE_BYTES:
-                    close()
+            for piece in slices(batch, most=2 << 20):
+                with without_gc():
+                    data = enc.batch(piece.column("text"), end_id)
+                for d, x in zip(piece.column("doc_id").to_pylist(), data):
+                    if state["out"] is None:
+                        fs.create_dir(base, recursive=True)
+                        name = f"part-{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.tok"
+                        state |= {"name": name, "out": fs.open_output_stream(f"{base}/{name}"), "ids": [], "packed": [], "plain": [], "sums": [], "size": 0}
+                    packed = frame(x)
+                    state["out"].write(packed)
+                    for key, v in (("ids", d), ("packed", len(packed)), ("plain", len(x)), ("sums", xxhash.xxh64_intdigest(x) & 0xFFFFFFFF)):
+                        state[key].append(v)
+                    state["size"] += len(packed)
+                    if state["size"] >= FILE_BYTES or len(state["ids"]) >= per_file:
+                        close()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in files], type=t) for k, t in enumerate(listed.types)], schema=listed)
 
-    frames = docs.mapInArrow(encode, "part int, doc_id long, plain long, crc long, sum long, frame binary")
-    sorted_ = frames.repartition(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "plain")
-    return cut(sorted_.mapInArrow(write, "part int, number int, path string, n_docs long, n_tokens long"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), "digest", "place"]
+    sorted_ = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return cut(small_batches(sorted_).mapInArrow(trimmed(write), "part int, number int, path string, n_docs long, n_tokens long"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
