@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hex_unit, ranked
+from .common import cut, hex_unit, ranked, slices, small_batches, trimmed, without_gc, written
+from .token_files import encoder
 
 #: Permitted sequence lengths, and what a sequence costs besides its length.
 SIZES, OVERHEAD = (2048, 4096, 8192, 16384, 32768), 64
@@ -130,6 +131,34 @@ def slots(bins: list[Bins]) -> dict[int, np.ndarray]:
     return {n: np.array(r, dtype=np.int64) for n, r in runs.items()}
 
 
+def _assigned(pieces: DataFrame, carry: list[str], sizes: tuple[int, ...], overhead: int, per_task: int) -> DataFrame:
+    """``carry`` and (length, bin, bin_size, offset) of each of ``pieces`` (length, _key, *carry), which are cheap to read again."""
+    found = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most one row for each length
+    placed = ranked(pieces, ["length"], "_key", carry, "_place", per_task).select(*carry, "length", "_place")
+    table = pieces.sparkSession.sparkContext.broadcast(slots(plan(found, sizes, overhead)))
+
+    def run(batches):
+        for batch in batches:
+            n, place = batch.column("length").to_numpy(), batch.column("_place").to_numpy()
+            out = np.zeros((3, len(n)), dtype=np.int64)
+            order = np.argsort(n, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(n[order]) != 0))) if len(n) else []
+            for a, b in zip(edges, [*edges[1:], len(n)]):
+                at = order[a:b]
+                runs = table.value[int(n[at[0]])]
+                k = np.searchsorted(runs[:, 0], place[at], side="right") - 1
+                first, bin_, copies, offset, size = runs[k].T
+                inside = place[at] - first
+                out[:, at] = bin_ + inside // copies, size, offset + inside % copies * n[at[0]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*carry, "length")], *map(pa.array, out)], names=[*carry, "length", "bin", "bin_size", "offset"])
+
+    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in (*carry, "length", "bin", "bin_size", "offset")))
+
+
+def _key(seed: str, *parts: str) -> Column:
+    return hex_unit(F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in parts])))
+
+
 def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, seed: str = "5", per_task: int = 2_000) -> DataFrame:
     """(doc_id, piece, begin, length, bin, bin_size, offset) for each piece of each row of ``docs`` (doc_id, text).
 
@@ -139,30 +168,85 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHE
     go to their places in a seeded order of doc_id; repeated rows are packed like others. An empty table gives no rows;
     other columns are not read.
     """
-    spark, most = docs.sparkSession, max(sizes)
+    most = max(sizes)
     length = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("_all"))
     rows = rows.select("doc_id", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_all - 1) div {most}"))).alias("piece"))
     rows = rows.withColumn("begin", F.col("piece") * most).withColumn("length", F.least(F.lit(most).cast("long"), F.col("_all") - F.col("begin"))).drop("_all")
-    key = hex_unit(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"))))
-    rows = cut(rows.withColumn("_key", key))
-    found = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most one row for each length
-    placed = ranked(rows, ["length"], "_key", ["doc_id", "piece"], "_place", per_task).select("doc_id", "piece", "begin", "length", "_place")
-    table = spark.sparkContext.broadcast(slots(plan(found, sizes, overhead)))
+    rows = cut(rows.withColumn("_key", _key(seed, "doc_id", "piece")))
+    return _assigned(rows, ["doc_id", "piece", "begin"], sizes, overhead, per_task)
+
+
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame:
+    """(doc_id, begin, length, ids) of the documents' token ids with ``end_id`` behind, cut into pieces; ids as 16 bits each where all fit."""
+    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        enc = encoder(tokenizer)
+        unit = np.dtype(_unit(enc.library.get_vocab_size(with_added_tokens=True), end_id))
         for batch in batches:
-            n, place = batch.column("length").to_numpy(), batch.column("_place").to_numpy()
-            out = np.zeros((3, len(n)), dtype=np.int64)
-            order = np.argsort(n, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(n[order]) != 0))) if len(n) else []
-            for a, b in zip(edges, [*edges[1:], len(n)]):
-                at = order[a:b]
-                runs = table.value[int(n[at[0]])]
-                k = np.searchsorted(runs[:, 0], place[at], side="right") - 1
-                first, bin_, copies, offset, size = runs[k].T
-                inside = place[at] - first
-                out[:, at] = bin_ + inside // copies, size, offset + inside % copies * n[at[0]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "piece", "begin", "length")], *map(pa.array, out)], names=["doc_id", "piece", "begin", "length", "bin", "bin_size", "offset"])
-
-    return placed.mapInArrow(run, "doc_id long, piece long, begin long, length long, bin long, bin_size long, offset long")
+            for part in slices(batch, most=2 << 20):
+                with without_gc():
+                    ids, begins = enc.arrays(part.column("text"), end_id)
+                sizes = np.diff(begins)
+                pieces = -(-sizes // most)  # of each document; none is empty, for its end id
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                begin = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+                length = np.minimum(most, sizes[row] - begin)
+                data, at = ids.astype(unit).tobytes(), (unit.itemsize * np.concatenate(([0], np.cumsum(length)))).tolist()
+                held = pa.array([data[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(begin), pa.array(length), held], schema=schema)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).mapInArrow(trimmed(run), "doc_id long, begin long, length long, ids binary")
+
+
+def _unit(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
+_DOCUMENTS = pa.list_(pa.struct([(c, pa.int64()) for c in ("offset", "doc_id", "begin", "length")]))
+
+
+def _joined(batches):
+    """A row for each sequence from its pieces, which follow each other in order; at most a sequence is held."""
+    schema = pa.schema([("bin", pa.int64()), ("bin_size", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("documents", _DOCUMENTS)])
+    now, size, held, parts = None, 0, [], []
+
+    def done():
+        data, n = b"".join(parts), sum(d["length"] for d in held)
+        ids = np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([size], pa.int64()), pa.array([n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(ids)), pa.array([held], _DOCUMENTS)], schema=schema)
+
+    for batch in batches:
+        for b, s, d, x in zip(batch.column("bin").to_pylist(), batch.column("bin_size").to_pylist(), batch.column("document").to_pylist(), batch.column("ids").to_pylist()):
+            if b != now:
+                if held:
+                    yield done()
+                now, size, held, parts = b, s, [], []
+            held.append(d)
+            parts.append(x)
+    if held:
+        yield done()
+
+
+def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, seed: str = "5", per_task: int = 2_000) -> DataFrame:
+    """(bin, bin_size, n_tokens, ids, documents): a row for each packed sequence of the token ids of ``docs`` (doc_id, text).
+
+    Each document's ids, as the library for ``tokenizer`` gives them, and ``end_id`` are cut into pieces of the largest
+    size at most, and the pieces are packed as by pack(). ``documents`` has (offset, doc_id, begin, length) of the
+    sequence's pieces in order: where a piece stands in the sequence, and where in its document it begins. A null or
+    empty text has its end id alone; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+    """
+    pieces = written(_pieces(docs, tokenizer, end_id, max(sizes)).withColumn("row", F.monotonically_increasing_id()).withColumn("_key", _key(seed, "doc_id", "begin")), "pieces")
+    places = _assigned(pieces.select("row", "length", "_key"), ["row"], sizes, overhead, per_task).select("row", "bin", "bin_size", "offset")
+    held = pieces.select("row", "doc_id", "begin", "length", "ids").join(places, "row")
+    held = held.select("bin", "bin_size", F.struct("offset", "doc_id", "begin", "length").alias("document"), "ids")
+    held = held.repartition("bin").sortWithinPartitions("bin", "document.offset")
+    return small_batches(held).mapInArrow(_joined, "bin long, bin_size long, n_tokens long, ids array<int>, documents array<struct<offset:bigint,doc_id:bigint,begin:bigint,length:bigint>>")
+
+
+def sequence_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(bin, bin_size, n_tokens, n_documents, documents, ids_sha256) of the packed sequences: of their decimal ids joined by commas."""
+    found = pack_sequences(docs, tokenizer)
+    return found.select("bin", "bin_size", "n_tokens", F.size("documents").cast("long").alias("n_documents"), "documents", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .audio import media_digests
 from .common import table
 from .jaccard import jaccard_components
-from .packing import pack
+from .packing import sequence_digests
 from .piece_codec import digest_texts
 from .pii import with_surrogates
 from .quality import judge
@@ -28,7 +28,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return sequence_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

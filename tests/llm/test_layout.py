@@ -9,7 +9,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from karyoframe.llm.packing import OVERHEAD, SIZES, pack, plan
+from karyoframe.llm.packing import OVERHEAD, SIZES, pack, pack_sequences, plan
 from karyoframe.llm.sharding import shard_rows
 from karyoframe.llm.token_files import Reader, read_token_files, token_file_digests, write_token_files
 
@@ -128,3 +128,67 @@ def test_token_files(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         Reader(f.path).payload(0)
     assert token_file_digests(df.limit(0), WORDS).count() == 0
+
+
+def test_packed_sequences(spark):
+    lib, rnd = tokenizers.Tokenizer.from_file(WORDS), random.Random(8)
+    texts = [None, "", "a b", *[" ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(60))) for _ in range(80)], "long text " * 400, "same text", "same text"]
+    rows = [(None if i == 4 else i // 2, t, 1, 2) for i, t in enumerate(texts)]  # ids that two rows share
+    df = spark.createDataFrame(rows, "doc_id long, text string, bin int, ids int")
+    ids = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    sizes = (32, 64, 256)
+    found = pack_sequences(df, WORDS, sizes=sizes, overhead=4, per_task=5).collect()
+    assert len({r.bin for r in found}) == len(found) and sum(r.n_tokens for r in found) == sum(map(len, ids))
+    parts = {}
+    for r in found:
+        at = 0
+        assert r.n_tokens == len(r.ids) <= r.bin_size == min(s for s in sizes if s >= len(r.ids))
+        for d in r.documents:
+            assert d.offset == at
+            at += d.length
+            parts.setdefault((d.doc_id, d.begin), []).append(r.ids[d.offset : d.offset + d.length])
+        assert at == r.n_tokens
+    want = {}
+    for (d, *_), x in zip(rows, ids):
+        for b in range(0, len(x), sizes[-1]):
+            want.setdefault((d, b), []).append(x[b : b + sizes[-1]])
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    assert pack_sequences(df.limit(0), WORDS).count() == 0
+
+
+def best_fit(lengths, sizes, overhead):
+    """Piece by piece: the open bin that is filled best, the oldest of equal ones; else the size of least cost for what it would hold."""
+    left = sorted(lengths, reverse=True)
+    bins = []
+    while left:
+        x = left.pop(0)
+        fit = [b for b in bins if b[1] >= x]
+        if fit:
+            b = min(fit, key=lambda b: (b[1], b[2]))
+        else:
+            cost = {}
+            for s in sizes:
+                if s >= x:
+                    room, held = s - x, x
+                    for y in left:
+                        if y <= room:
+                            room, held = room - y, held + y
+                    cost[s] = (s + overhead) / held
+            s = min(cost, key=lambda s: (cost[s], s))
+            b = [s, s, len(bins), []]
+            bins.append(b)
+        b[1] -= x
+        b[3].append(x)
+        b[2] = max(c[2] for c in bins) + 1  # it has its room since now
+    return sorted((min(s for s in sizes if s >= sum(b[3])), sum(b[3])) for b in bins)
+
+
+def test_plan_with_equal_lengths():
+    rnd = random.Random(2)
+    for _ in range(60):
+        lengths = [rnd.choice([1, 2, 3, 5, 7, 7, 7, 12, 16, 31, 33]) for _ in range(rnd.randrange(1, 120))]
+        held = plan(Counter(lengths), (16, 32, 64), 4)
+        assert Counter(x for b in held for x in b.held * b.count) == Counter(lengths)
+        got = sum(b.size * b.count for b in held)
+        want = sum(s for s, _ in best_fit(lengths, (16, 32, 64), 4))
+        assert got <= 1.1 * want + 64, (got, want)
