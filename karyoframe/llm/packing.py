@@ -238,7 +238,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, sizes: tupl
     sequence's pieces in order: where a piece stands in the sequence, and where in its document it begins. A null or
     empty text has its end id alone; repeated rows are packed each; an empty table gives no rows; other columns are not read.
     """
-    pieces = written(_pieces(docs, tokenizer, end_id, max(sizes)).withColumn("row", F.monotonically_increasing_id()).withColumn("_key", _key(seed, "doc_id", "begin")), "pieces")
+    pieces = written(_pieces(docs, tokenizer, end_id, max(sizes)).withColumn("row", F.monotonically_increasing_id()).withColumn("_key", _key(seed, "doc_id", "begin")), "pieces", "zstd")
     places = _assigned(pieces.select("row", "length", "_key"), ["row"], sizes, overhead, per_task).select("row", "bin", "bin_size", "offset")
     held = pieces.select("row", "doc_id", "begin", "length", "ids").join(places, "row")
     held = held.select("bin", "bin_size", F.struct("offset", "doc_id", "begin", "length").alias("document"), "ids")
