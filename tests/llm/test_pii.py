@@ -71,3 +71,56 @@ def test_surnames_grow_with_attempts(spark):
     df = spark.range(3).withColumn("h", F.repeat(F.sha2(F.lit("x"), 512), 2))
     made = df.select(replaced(F.lit("he:smith"), F.lit("name"), F.col("h"), F.col("id").cast("int")).alias("s")).collect()
     assert [len(r.s) for r in made] == [11, 13, 15]
+
+
+def test_short_forms_and_names_without_a_title(spark):
+    rows = [
+        (1, "Mr John Smith met John Smith and Mr Smith; Smith left, Smithson and Jane Smith stayed."),
+        (2, "Dr John Smith wrote. Later Mr John Smith and Prof. van Beethoven, Frau Ludwig van Beethoven"),
+        (3, "John Smith alone is no entity here, nor is Smith."),
+    ]
+    got = {r.doc_id: r for r in with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) met (\w+) (\w+) and Mr (\w+); (\w+) left, Smithson and Jane (\w+) stayed\.", got[1].text)
+    assert m[1] == m[3] != "John" and {m[2], m[4], m[5], m[6], m[7]} == {m[2]} and m[2] != "Smith" and got[1].n_entities == 5
+    n = re.fullmatch(r"Dr (\w+) (\w+) wrote\. Later Mr (\w+) (\w+) and Prof\. (\w+), Frau (\w+) (\w+)", got[2].text)
+    assert (n[1], n[2], n[3], n[4]) == (m[1], m[2], m[1], m[2]) and n[5] == n[7] and n[6] not in (n[1], n[5])
+    assert got[3].text == rows[2][1] and got[3].n_entities == 0
+
+
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_account_numbers_stay_valid(spark):
+    rows = [(1, "pay GB82 WEST 1234 5698 7654 32, DE89370400440532013000 or GB82WEST12345698765432"), (2, "GB83 WEST 1234 5698 7654 32 is none"), (3, "DE89 3704 0044 0532 0130 00 SOON and NL91 ABNA 0417 1643 00")]
+    got = {r.doc_id: r for r in with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a = re.fullmatch(r"pay (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d), (DE\d{20}) or (GB\d\d[A-Z]{4}\d{14})", got[1].text)
+    assert [mod97(x) for x in a.groups()] == [1, 1, 1] and a[1].replace(" ", "") == a[3] and "WEST" not in a[1]
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    b = re.fullmatch(r"(DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) SOON and (NL\d\d [A-Z]{4} \d{4} \d{4} \d\d)", got[3].text)
+    assert b[1].replace(" ", "") == a[2] and mod97(b[2]) == 1
+
+
+def test_many_entities_of_one_kind_stay_distinct(spark):
+    # 100,000 surnames of one script, and 650 of the 676 addresses that have one letter on each side
+    names = spark.range(100_000).selectExpr("id AS doc_id", "concat('Mr ', initcap(translate(cast(id + 100000 AS string), '0123456789', 'abcdefghij')), ' left') AS text")
+    pairs = spark.range(650).selectExpr("null AS doc_id", "concat(char(97 + id % 26), '@', char(97 + id div 26), '.io') AS text")
+    for docs, n in ((names, 100_000), (pairs, 650)):
+        ents = entities(docs, "k1")
+        r = ents.agg(F.count("*").alias("n"), F.countDistinct("kind", "surrogate").alias("d")).first()
+        assert (r.n, r.d) == (n, n)
+        assert not ents.join(ents.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").count()
+        new = with_surrogates(docs)
+        assert new.select("text").distinct().count() == n and new.where("n_entities <> 1").count() == 0
+
+
+def test_clashing_columns_and_marks(spark):
+    rows = [(None, "a@b.org \u0001 Mr Jones", 1, 2, 3, 4), (None, "a@b.org", 5, 6, 7, 8), (3, "\u0001\u0001", 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found int, _each int, _gaps int, n_entities int")
+    new = with_surrogates(docs)
+    assert new.columns == ["doc_id", "text", "_found", "_each", "_gaps", "n_entities"]
+    got = sorted(new.collect(), key=lambda r: r._found * 10 + (r.doc_id or 0))
+    assert [(r._found, r._each, r._gaps, r.n_entities) for r in got] == [(1, 2, 3, 2), (1, 1, 1, 0), (5, 6, 7, 1)]
+    mail = got[2].text
+    assert re.fullmatch(rf"{re.escape(mail)} \u0001 Mr [A-Z][a-z]+", got[0].text) and got[1].text == "\u0001\u0001"
