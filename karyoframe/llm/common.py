@@ -153,18 +153,26 @@ def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str
     return joined(cuts.drop("_n"), counts, [*group, "_range"]).withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, slices_: int = 1024) -> DataFrame:
     """(id, root) for every end of the edges (a, b): root is the smallest id that can be reached.
 
     Each round takes the least root of all neighbours, tells it to one's present root as well, so that whole trees are
     hooked, and goes on to the root of one's root. Roots only get smaller, and where nothing changes both ends of each
-    edge have the same one: it ends by itself, for long chains too. Least values are combined before the shuffle, so
-    that a hub is no hot key.
+    edge have the same one: it ends by itself, for long chains too. Least values are combined before the shuffle. An end
+    with more than one of ``slices_`` parts of all edges, of which there can be ``slices_`` at most, is dealt out in as
+    many slices as it has such parts, so that a hub is no hot key.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    roots = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    degrees = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count(F.lit(1)).alias("degree"))
+    degrees = cut(degrees)
+    most = max(256, (degrees.agg(F.sum("degree")).first()[0] or 0) // slices_)
+    hubs = cut(degrees.where(F.col("degree") > most).select(F.col("id").alias("_hub"), F.ceil(F.col("degree") / most).cast("int").alias("_parts")))
+    hubs = F.broadcast(hubs)  # at most slices_ rows, by the choice of ``most``
+    both = cut(both.join(hubs, both.b == F.col("_hub"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part")))
+    roots = degrees.select("id", "root")
     while True:
-        near = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
+        each = roots.join(hubs, roots.id == F.col("_hub"), "left").select("id", "root", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+        near = both.join(each, (both.b == each.id) & (both.part == each._part)).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots.id == near.a).select("id", "root", F.least("root", "near").alias("next"))
         told = step.where("next < root").groupBy(F.col("root").alias("_of")).agg(F.min("next").alias("_told"))
         step = step.join(told, step.id == told._of, "left").select("id", "root", F.least("next", "_told").alias("next"))

@@ -1,20 +1,22 @@
 """Set-similarity join of documents on word n-grams by vertical partitioning.
 
-The global order of n-grams is cut into fragments; a document's part in a fragment is its segment. Overlaps are counted
-within each fragment by itself and summed per pair.
-
-1. One pass over the texts sends each n-gram's fingerprint to its fragment, combined before the shuffle. A fragment
-   counts, for each set, the n-grams that another set holds too, and gives no row for a set without any. The sums over
-   fragments say which sets can have a partner at all: a set of n needs at least ``percent`` % of n shared n-grams.
-   Equal sets count as one.
-2. Of the sets that remain, n-grams are ordered by how many sets hold them (in powers of four) and by value. Two similar
-   sets share an n-gram among their first n - ceil(percent * n / 100) + 1. The set under each such n-gram with the
-   fewest n-grams of its own is paired with the others under it; what these pairs link are the first components.
-3. Sets whose first n-grams hang together, but which stand in different components, are compared in blocks of bounded size, ordered by
-   set size: first n-grams and segment lengths rule out most pairs, fragments count the overlaps of the others, sums decide.
-
-No pair within a component is needed again, so that a group of n copies costs about n comparisons. Every pair of sets
-that the components don't settle is decided by exact counts; there is no cap on group sizes or candidates.
+N-grams have a global order: by how many sets hold them (in powers of four), then by value. The order is cut into
+fragments of about equal weight; a set's part in a fragment is its segment. The overlap of every compared pair is counted
+in each fragment by itself, and the partial overlaps are summed per pair.
+
+1. One pass over the texts tells which sets can have a partner at all: n-grams' fingerprints, dealt by value and combined
+   before the shuffle, say how many of a set's n-grams another set holds too, and a set of n needs at least ``percent`` %
+   of n. Equal sets count as one.
+2. Two similar sets share an n-gram among their first n - ceil(percent * n / 100) + 1 in the global order. The set under
+   each such n-gram with the fewest n-grams of its own is paired with the others under it; what these pairs link are the
+   first components.
+3. Of the n-grams whose sets stand in several components, sets are compared in blocks of bounded size, ordered by set
+   size, by bitmaps that bound the overlap from above. At first one pair is counted for each two components that a block
+   finds, which joins nearly all that hang together; then every pair that the bounds allow and whose components still
+   differ.
+
+No pair within a component is needed, so that a group of n copies costs about n comparisons. Every pair of sets that the
+components don't settle is decided by exact counts; there is no cap on group sizes or candidates.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, give_back, slices, small_batches, smaller, trimmed, written
+from .common import components, cut, free_prefix, give_back, slices, small_batches, smaller, trimmed, written
 from .shingles import mix64, shingle_sets
 
 #: n-grams for each fragment task of step 1; a fragment's numbers take about 25 bytes each. A set has a row in each
@@ -35,8 +37,12 @@ from .shingles import mix64, shingle_sets
 PER_FRAGMENT = 5_000_000
 #: Sets in a block of step 3.
 BLOCK = 512
-#: Vertical fragments in which overlaps are counted, and segments whose lengths rule out pairs.
-FRAGMENTS, SEGMENTS = 4, 64
+#: Rows of small n-grams that are compared in one task, n-gram by n-gram.
+PER_DEAL = 20_000
+#: Vertical fragments in which overlaps are counted.
+FRAGMENTS = 4
+#: Least and most bits (powers of two) of the bitmaps that bound overlaps; a larger set's bound is less sharp, no less true.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 15
 #: Most slots of the table that tells how common an n-gram is; a crowded table only makes the order less sharp.
 SLOTS = 1 << 22
 
@@ -62,10 +68,13 @@ def _first_pass(width: int, bits: int):
     schema = pa.schema([("frag", pa.int32()), ("doc", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("prints", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId() * 7919  # documents' rows go to one fragment after another
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
-                ids, texts = part.column("doc_id"), part.column("text").to_pylist()
-                values, offsets = shingle_sets(texts, width)
+            for part in slices(batch, most=2 << 20):
+                ids, turn = part.column("doc_id"), turn + 1
+                values, offsets = shingle_sets(part.column("text"), width)
                 n = np.diff(offsets)
                 sets = [signature(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 owners = np.repeat(_owners(sets), n)
@@ -81,22 +90,19 @@ def _first_pass(width: int, bits: int):
                     values, owners = values[starts], np.where(least == most, least, _MANY)
                     frag = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), dtype=np.int64)
                     prints = ((values << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                    cuts = np.searchsorted(frag, np.arange((1 << bits) + 1))
+                    cuts = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1], [True])))
                 else:
-                    cuts = np.zeros((1 << bits) + 1, dtype=np.int64)
+                    cuts = np.zeros(1, dtype=np.int64)
                 rows = []
-                for f in range(1 << bits):
-                    a, b = cuts[f], cuts[f + 1]
-                    if a < b:
-                        by = np.argsort(owners[a:b], kind="stable")
-                        own, at, sizes = np.unique(owners[a:b][by], return_index=True, return_counts=True)
-                        rows.append((f, None, own.tobytes(), sizes.astype(np.uint32).tobytes(), prints[a:b][by].tobytes()))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    by = np.argsort(owners[a:b], kind="stable")
+                    own, sizes = np.unique(owners[a:b][by], return_counts=True)
+                    rows.append((int(frag[a]), None, own.tobytes(), sizes.astype(np.uint32).tobytes(), prints[a:b][by].tobytes()))
                 table = pa.table({"doc_id": ids.cast(pa.int64()), "n": pa.array(n, pa.int64()), "set": pa.array(sets, pa.binary()), "within": pa.array(within, pa.int64())})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as out:
                     out.write_table(table)
-                spread = int(owners[0] % np.uint64(1 << bits)) if len(owners) else 0
-                rows.append((spread, sink.getvalue().to_pybytes(), None, None, None))
+                rows.append((turn % (1 << bits), sink.getvalue().to_pybytes(), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
                 del rows, values, owners, order, sink, table
 
@@ -144,8 +150,8 @@ def _sets(width: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
-                values, offsets = shingle_sets(part.column("text").to_pylist(), width)
+            for part in slices(batch, most=2 << 20):
+                values, offsets = shingle_sets(part.column("text"), width)
                 held = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([signature(v) for v in held], pa.binary()), pa.array([len(v) for v in held], pa.int64()), pa.array([v.tobytes() for v in held], pa.binary())], schema=schema)
 
@@ -161,19 +167,45 @@ def _common(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
 
-def _prefixes(table, percent: int):
-    """(gram, id): the first n-grams of each set, rarest first, so many that similar sets share one of them."""
+class Order:
+    """The global order of n-grams and its fragments: ``levels`` by slot, ``cuts`` where all fragments but the first begin."""
+
+    def __init__(self, levels: np.ndarray, weights: dict[int, int]):
+        self.levels = levels
+        ranks, total, cuts = sorted(weights), sum(weights.values()), []
+        for f in range(1, FRAGMENTS):
+            want, before = total * f / FRAGMENTS, 0.0
+            for level in ranks:
+                if before + weights[level] >= want:
+                    # values are spread evenly within a level
+                    cuts.append((level << 56) + min((1 << 56) - 1, int((want - before) / weights[level] * (1 << 56))))
+                    break
+                before += weights[level]
+        self.cuts = np.array(cuts, dtype=np.uint64)
+
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        """What values are ordered by: the level, then the value but for its lowest byte."""
+        level = self.levels[(values & np.uint64(len(self.levels) - 1)).astype(np.int64)].astype(np.uint64)
+        return (level << np.uint64(56)) | (values >> np.uint64(8))
+
+    def fragments(self, values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, self.keys(values), side="right")
+
+    def first(self, values: np.ndarray, percent: int) -> np.ndarray:
+        """So many first n-grams of a set, in the global order, that similar sets share one of them."""
+        p = len(values) - -(-percent * len(values) // 100) + 1
+        return values[np.argsort(self.keys(values), kind="stable")[:p]]  # values ascend, so ties are by value
+
+
+def _prefixes(order, percent: int):
+    """(gram, id): the first n-grams of each set."""
     schema = pa.schema([("gram", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
-        levels = table.value
         for batch in batches:
             keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, x in zip(batch.column("id").to_pylist(), batch.column("grams").to_pylist()):
-                v = np.frombuffer(x, np.uint64)
-                level = levels[(v & np.uint64(len(levels) - 1)).astype(np.int64)]
-                p = len(v) - -(-percent * len(v) // 100) + 1
-                first = v[np.argsort(level, kind="stable")[:p]]  # values ascend, so ties are by value
+                first = order.value.first(np.frombuffer(x, np.uint64), percent)
                 keys.append(first)
                 ids.append(np.full(len(first), i))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
@@ -181,11 +213,41 @@ def _prefixes(table, percent: int):
     return run
 
 
-def _fragment(values: np.ndarray, f: int) -> np.ndarray:
-    """The segment of ascending values in vertical fragment f."""
-    step = (1 << 64) // FRAGMENTS
-    a, b = np.searchsorted(values, np.array([f * step, (f + 1) * step - 1], dtype=np.uint64))
-    return values[a : b + (b < len(values) and int(values[b]) == (f + 1) * step - 1)]
+def _segments(order):
+    """A row per set and vertical fragment, with its segment: ascending values."""
+    schema = pa.schema([("id", pa.int64()), ("fragment", pa.int32()), ("segment", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, g in zip(batch.column("id").to_pylist(), batch.column("grams").to_pylist()):
+                v = np.frombuffer(g, np.uint64)
+                at = order.value.fragments(v)
+                rows += [(i, f, v[at == f].tobytes()) for f in range(FRAGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
+
+    return run
+
+
+def _bitmap(values: np.ndarray) -> bytes:
+    """For each place whether an odd number of the values have it: two sets differ in at least as many n-grams as bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(values) - 1).bit_length()))
+    odd = np.bincount((mix64(values) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmaps: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
+    """The bitmaps of some rows, folded to ``size`` words of 64 bits each."""
+    out = np.empty((len(rows), size), dtype=np.uint64)
+    for k, i in enumerate(rows):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, size), axis=0)
+    return out
+
+
+def _bitmaps(batches):
+    schema = pa.schema([("id", pa.int64()), ("bitmap", pa.binary())])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_bitmap(np.frombuffer(g, np.uint64)) for g in batch.column("grams").to_pylist()], pa.binary())], schema=schema)
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -199,77 +261,99 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _pair_overlaps(batches):
-    """Overlaps of the pairs' sets, counted fragment by fragment and summed."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64())])
+def _partial_overlaps(batches):
+    """The overlap of a pair in one fragment."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())])
     for batch in batches:
-        common = []
-        for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common.append(sum(_overlap(_fragment(x, f), _fragment(y, f)) for f in range(FRAGMENTS)))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(common, pa.int64())], schema=schema)
+        common = [_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], schema=schema)
 
 
-def _segmented(batches):
-    """A row per set and vertical fragment: its segment, and the set's first n-grams and lengths of segments."""
-    schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("lengths", pa.binary()), ("segment", pa.binary()), ("first", pa.list_(pa.int64()))])
-    for batch in batches:
-        rows = []
-        for c, i, r, n, g, first in zip(*(batch.column(k).to_pylist() for k in ("cluster", "id", "root", "n", "grams", "first"))):
-            v = np.frombuffer(g, np.uint64)
-            lengths = np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS).astype(np.int32).tobytes()
-            rows += [(c, i, r, n, f, lengths, _fragment(v, f).tobytes(), first) for f in range(FRAGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(schema.types)], schema=schema)
-
-
-def _share_a_first(firsts: pa.ListArray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Which of the rows and cols have one of their first n-grams in common."""
-    grams, owner = firsts.flatten().to_numpy(), np.repeat(np.arange(len(firsts)), firsts.value_lengths().to_numpy())
-    _, gram = np.unique(grams, return_inverse=True)
-    place = np.full((2, len(firsts)), -1)
-    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
-    sides = [np.zeros((len(x), int(gram.max(initial=-1)) + 1), dtype=np.float32) for x in (rows, cols)]
-    for side, at in zip(sides, place):
-        inside = at[owner] >= 0
-        side[at[owner[inside]], gram[inside]] = 1
-    both = (sides[0].any(axis=0) & sides[1].any(axis=0)).nonzero()[0]
-    return sides[0][:, both] @ sides[1][:, both].T > 0
-
-
-def _block_pairs(percent: int):
-    """Of one pair of blocks in one fragment: the pairs that may be similar by their first n-grams and the lengths of
-    their segments, with their overlap there."""
+def _linked(pairs: DataFrame, sizes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of sets that are similar; overlaps are counted by fragment and summed."""
+    of = lambda s: sizes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    near = near.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
+    for s in ("a", "b"):
+        near = near.join(segments.select(F.col("id").alias(s), "fragment", F.col("segment").alias(f"s{s}")), [s, "fragment"])
+    counts = near.select("a", "b", "sa", "sb").mapInArrow(trimmed(_partial_overlaps), "a long, b long, common long")
+    sums = counts.groupBy("a", "b").agg(F.sum("common").alias("common")).join(of("a"), "a").join(of("b"), "b")
+    return sums.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+
+
+def _block_pairs(percent: int, forest: bool):
+    """Of one pair of blocks, for each n-gram there: pairs (a, b) whose bitmaps allow that they are similar.
+
+    With ``forest`` only so many that they join all components which such pairs would join.
+    """
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
-        f, left, right = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        block = frame.column("block").to_numpy()
-        ids, roots, n = (frame.column(k).to_numpy() for k in ("id", "root", "n"))
-        lengths = np.array([np.frombuffer(x, np.int32) for x in frame.column("lengths").to_pylist()]).reshape(-1, SEGMENTS)
-        segments = [np.frombuffer(x, np.uint64) for x in frame.column("segment").to_pylist()]
-        here = slice(f * SEGMENTS // FRAGMENTS, (f + 1) * SEGMENTS // FRAGMENTS)
-        out: list[tuple] = []
-        rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        meet = _share_a_first(frame.column("first").combine_chunks(), rows, cols)
-        for i, met in zip(rows, meet):
-            js = cols[met & (roots[cols] != roots[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))]
-            if left == right:
-                js = js[js > i]
-            # the overlap can't exceed the sum of the segments' lesser lengths
-            best = np.minimum(lengths[js], lengths[i])
-            least = -(-percent * (n[js] + n[i]) // (100 + percent))
-            js, best, least = js[k := best.sum(axis=1) >= least], best[k], least[k]
-            elsewhere = best.sum(axis=1) - best[:, here].sum(axis=1)
-            for j, rest, need in zip(js, elsewhere, least):
-                c = _overlap(segments[i], segments[j])
-                if c + rest >= need:
-                    a, b = (i, j) if ids[i] < ids[j] else (j, i)
-                    out.append((ids[a], ids[b], n[a], n[b], c))
-        cols_ = list(zip(*out)) or [[]] * 5
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "na", "nb", "common"), cols_)})
+        left, right = key[1].as_py(), key[2].as_py()
+        gram, block, ids, n = (frame.column(k).to_numpy() for k in ("gram", "block", "id", "n"))
+        _, label = np.unique(frame.column("root").to_numpy(), return_inverse=True)
+        bitmaps = frame.column("bitmap").to_pylist()
+        by = np.lexsort((n, gram))
+        cuts = np.flatnonzero(np.concatenate(([True], gram[by][1:] != gram[by][:-1], [True])))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p, q in zip(cuts[:-1], cuts[1:]):
+            here = by[p:q]
+            if (label[here] == label[here[0]]).all():
+                continue
+            size = min(len(bitmaps[i]) for i in here) // 8
+            at = np.arange(q - p)
+            words = _folded(bitmaps, here, size)
+            rows, cols = at[block[here] == left], at[block[here] == right]
+            for k, x in enumerate(rows):
+                i, ys = here[x], cols[k + 1 :] if left == right else cols
+                js = here[ys]
+                ok = (label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))
+                ys, js = ys[ok], js[ok]
+                if not len(js):
+                    continue
+                # twice the overlap is at most what both hold less the bits in which they differ
+                twice = n[js] + n[i] - np.bitwise_count(words[ys] ^ words[x]).sum(axis=1, dtype=np.int64)
+                js = js[(100 + percent) * twice >= 2 * percent * (n[js] + n[i])]
+                if forest and len(js):
+                    met, one = np.unique(label[js], return_index=True)
+                    label[np.isin(label, met)] = label[i]
+                    js = js[one]
+                a.append(np.minimum(ids[js], ids[i]))
+                b.append(np.maximum(ids[js], ids[i]))
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return run
 
 
+def _candidates(under: DataFrame, state: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct pairs (a, b) that share one of their first n-grams (``under``) and may be similar, but have different roots.
+
+    ``state`` has (id, root, n, bitmap). The sets under an n-gram are dealt to blocks of about BLOCK by size; each block
+    meets those whose sizes allow similar sets.
+    """
+    here = under.join(state.select("id", "root", "n"), "id")
+    mixed = here.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y").select("gram", "held")
+    here = cut(here.join(mixed, "gram"))
+    large = here.where(F.col("held") > BLOCK)
+    spread = large.groupBy("gram", "n").agg(F.count(F.lit(1)).alias("same"))
+    before = Window.partitionBy("gram").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    spread = spread.withColumn("before", F.coalesce(F.sum("same").over(before), F.lit(0)))
+    base, inner = F.floor(F.col("before") / BLOCK) * (1 << 20), F.pmod(F.xxhash64("id"), F.ceil(F.col("same") / BLOCK))
+    large = large.join(spread, ["gram", "n"]).withColumn("block", F.when(F.col("same") <= BLOCK, base).otherwise(base + 1 + inner))
+    blocks = large.groupBy("gram", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = blocks.select(F.col("gram").alias("g2"), F.col("block").alias("right"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meets = blocks.join(other, (F.col("gram") == F.col("g2")) & (F.col("block") <= F.col("right")))
+    meets = meets.where(f"100 * least(high, high2) >= {percent} * greatest(low, low2)").select("gram", F.col("block").alias("left"), "right")
+    sent = meets.select("gram", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    names = ["deal", "left", "right", "gram", "block", "id", "root", "n"]
+    large = large.select("gram", "block", "id", "root", "n").join(sent, ["gram", "block"]).withColumn("deal", F.col("gram"))
+    small = here.where(F.col("held") <= BLOCK)
+    deals = max(2 * int(under.sparkSession.conf.get("spark.sql.shuffle.partitions")), small.count() // PER_DEAL)
+    zero = F.lit(0).cast("long")
+    small = small.withColumn("deal", F.pmod(F.xxhash64("gram"), F.lit(deals))).withColumn("block", zero).withColumn("left", zero).withColumn("right", zero)
+    both = small.select(*names).unionByName(large.select(*names)).join(state.select("id", "bitmap"), "id")
+    return cut(both.groupBy("deal", "left", "right").applyInArrow(_block_pairs(percent, forest), "a long, b long").distinct())
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -308,6 +392,22 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     return _link(members, sets, percent)
 
 
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of similar texts, with all its columns: that with the smallest doc_id, nulls last.
+
+    Rows count, not ids: a text that nobody else has stays whoever shares its doc_id, of equal rows one stays, and of a
+    component of rows without doc_ids one stays. Null, empty and wordless texts link with nothing and all stay. An empty
+    table gives no rows; columns of any name are kept.
+    """
+    own = f"{free_prefix(docs.columns)}row"
+    rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")  # written once, so that a row keeps its number
+    found = cut(jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"))
+    named = found.join(rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first"))
+    gone = cut(found.join(first, "component_id").where("row <> first").select(F.col("row").alias(own)))
+    return rows.join(smaller(gone), own, "left_anti").select(*docs.columns)
+
+
 def _owner_column():
     """The same value as _owners has: the first 8 bytes as a little-endian number with its lowest bit set."""
     swapped = F.concat(*[F.hex(F.substring("set", i, 1)) for i in range(8, 0, -1)])
@@ -320,55 +420,38 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = cut(sets.select("grams").mapInArrow(trimmed(_common), "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).where("held >= 4"))
     slots = 1 << min(SLOTS.bit_length() - 1, max(10, (8 * held.count()).bit_length()))
     level = F.floor(F.log2("held") / 2).cast("int")
-    rows = held.groupBy(F.col("gram").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.max(level).alias("level")).toPandas()  # at most SLOTS
+    rows = held.groupBy(F.col("gram").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.max(level).alias("level")).toArrow()  # at most SLOTS, 12 bytes each
     levels = np.zeros(slots, dtype=np.uint8)
-    levels[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["level"].to_numpy(dtype=np.int64), 255)
-
-    table = spark.sparkContext.broadcast(levels)
-    under = cut(sets.select("id", "grams").mapInArrow(trimmed(_prefixes(table, percent)), "gram long, id long").join(sets.select("id", "apart"), "id"))
-    least = under.groupBy("gram").agg(F.min(F.struct("apart", "id"))["id"].alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    stars = cut(under.join(least, "gram").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-
-    sides = stars.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), "a")
-    sides = sides.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb")), "b")
-    near = sides.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ga", "gb")
-    enough = f"100 * common >= {percent} * (na + nb - common)"
-    links = cut(near.mapInArrow(trimmed(_pair_overlaps), "a long, b long, na long, nb long, common long").where(enough).select("a", "b"))
+    levels[rows["slot"].to_numpy()] = np.minimum(rows["level"].to_numpy(), 255)
+    del rows
+    found = held.groupBy(level.alias("level")).agg(F.sum("held").alias("weight")).collect()  # 64 rows at most
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    weights = {r["level"]: r["weight"] for r in found}
+    weights[0] = weights.get(0, 0) + max(1, total - sum(weights.values()))  # n-grams that are in no list
+    order = spark.sparkContext.broadcast(Order(levels, weights))
+
+    sizes = sets.select("id", "n")
+    segments = written(sets.select("id", "grams").mapInArrow(trimmed(_segments(order)), "id long, fragment int, segment binary"), "segments")
+    under = cut(sets.select("id", "grams").mapInArrow(trimmed(_prefixes(order, percent)), "gram long, id long"))
+    central = under.join(sets.select("id", "apart"), "id").groupBy("gram").agg(F.min(F.struct("apart", "id"))["id"].alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").select("gram", "a")
+    stars = under.join(central, "gram").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = cut(_linked(stars, sizes, segments, percent))
     roots = components(spark, links)
 
-    # sets whose first n-grams hang together, where these don't all stand in one component yet
-    clusters = components(spark, stars)
-    state = clusters.select("id", F.col("root").alias("cluster")).join(roots, "id", "left").select("id", "cluster", F.coalesce("root", "id").alias("root"))
-    state = cut(state.join(sets.select("id", "n"), "id"))
-    mixed = state.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y").select("cluster", "held")
-    state = state.join(mixed, "cluster")
-    # blocks: a cluster's sets in order of size, cut by set size classes that hold about BLOCK sets each
-    spread = state.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("same"))
-    order = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    spread = spread.withColumn("before", F.coalesce(F.sum("same").over(order), F.lit(0)))
-    state = state.join(spread, ["cluster", "n"])
-    base, inner = F.floor(F.col("before") / BLOCK) * (1 << 20), F.pmod(F.xxhash64("id"), F.ceil(F.col("same") / BLOCK))
-    block = F.when(F.col("same") <= BLOCK, base).otherwise(base + 1 + inner)
-    state = cut(state.withColumn("block", block).select("cluster", "id", "root", "n", "block"))
-    blocks = state.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = blocks.select(F.col("cluster").alias("c2"), F.col("block").alias("right"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meets = blocks.join(other, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("right")))
-    meets = meets.where(f"100 * least(high, high2) >= {percent} * greatest(low, low2)").select("cluster", F.col("block").alias("left"), "right")
-    sent = meets.select("cluster", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-
-    firsts = under.groupBy("id").agg(F.collect_list("gram").alias("first"))  # of a set: bounded by its own size
-    full = state.join(sets.select("id", "grams"), "id").join(firsts, "id").select("cluster", "id", "root", "n", "grams", "first")
-    parts = full.mapInArrow(trimmed(_segmented), "cluster long, id long, root long, n long, fragment int, lengths binary, segment binary, first array<long>")
-    parts = parts.join(state.select("id", "block"), "id").join(sent, ["cluster", "block"])
-    counts = parts.groupBy("cluster", "fragment", "left", "right").applyInArrow(_block_pairs(percent), "a long, b long, na long, nb long, common long")
-    sums = counts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("seen"))
-    more = sums.where(f"seen = {FRAGMENTS} and {enough}")
-    up = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"r{s}"))
-    more = cut(more.select("a", "b").join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct())
-    tops = components(spark, more)
-
-    final = roots.select("id", "root").unionByName(tops.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
-    final = final.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("top"))
+    # sets under n-grams whose sets don't all stand in one component yet
+    under = cut(under.join(central.select("gram"), "gram", "left_semi"))
+    bitmaps = cut(sets.select("id", "grams").join(under.select("id").distinct(), "id", "left_semi").mapInArrow(trimmed(_bitmaps), "id long, bitmap binary"))
+    for forest in (True, False):
+        state = sizes.join(bitmaps, "id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "bitmap")
+        more = cut(_linked(_candidates(under, state, percent, forest), sizes, segments, percent))
+        if more.limit(1).count():
+            up = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"r{s}"))  # noqa: B023, E731
+            told = more.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+            tops = components(spark, told)
+            final = roots.unionByName(tops.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
+            roots = cut(final.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+
+    final = roots.select("id", F.col("root").alias("top"))
     # a component's name: the smallest id that any of its documents has
     names = sets.select("id", "set", "first").join(final, "id")
     names = names.join(names.groupBy("top").agg(F.min("first").alias("least")), "top").select("set", "least")

@@ -97,3 +97,12 @@ def test_near_duplicates_between_two_rules(spark):
     rows = [(1, " ".join(text)), (2, " ".join(text + [f"x{i}" for i in range(22)])), (3, " ".join(text + [f"y{i}" for i in range(30)]))]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, None), (7, None), (8, ""), (9, b + " x"), (9, b + " x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _row int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(1, a), (5, b), (None, c), (7, None), (7, None), (8, "")], key=str)
