@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karyoframe.llm.common import cut, scratch_path, smaller, table
-from karyoframe.llm.jaccard import jaccard_components
+from karyoframe.llm.common import scratch_path, table
+from karyoframe.llm.jaccard import without_near_copies
 from karyoframe.llm.packing import pack
 from karyoframe.llm.quality import keep_good
 from karyoframe.llm.secrets import without_secrets
@@ -17,14 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of similar ones: 5-word shingles, 80 % in common.
-
-    Of rows with one doc_id all stay if their group's name is that id; a document without an id stays if its group has
-    no other.
-    """
-    found = jaccard_components(docs, 5, 80)
-    gone = smaller(cut(found.where("doc_id <> component_id").select("doc_id").distinct()))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of similar texts: 5-word shingles, 80 % in common. Other rows all stay."""
+    return without_near_copies(docs, 5, 80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
