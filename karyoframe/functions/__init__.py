@@ -30,11 +30,45 @@ def identity_100(ops: Column) -> Column:
 
 
 def valid_cigar(ops: Column) -> Column:
-    """Only = X I D inside, clips at the ends only."""
+    """Only = X I D inside, clips at the ends only; a text that is no CIGAR as a whole gives no valid one, see whole_cigar()."""
     inner = F.when(F.size(ops) > 2, F.slice(ops, 2, F.greatest(F.size(ops) - 2, F.lit(1)))).otherwise(F.slice(ops, 1, 0))
     return (F.size(ops) > 0) & F.forall(ops, lambda x: x["op"].isin("=", "X", "I", "D", "H", "S")) & F.forall(inner, lambda x: x["op"].isin("=", "X", "I", "D"))
 
 
+def whole_cigar(cigar: Column) -> Column:
+    """Whether a text is a valid CIGAR without anything else in it."""
+    return F.coalesce(cigar.rlike(r"^(?:\d+[=XIDHS])+$") & valid_cigar(cigar_ops(cigar)), F.lit(False))
+
+
+def clip(ops: Column, last: bool = False) -> Column:
+    """Bases clipped at the begin or at the end."""
+    op = F.element_at(ops, -1 if last else 1)
+    return F.when(op["op"].isin("H", "S"), op["len"]).otherwise(F.lit(0).cast("long"))
+
+
+def is_reverse(flag: Column) -> Column:
+    """Whether a SAM flag says that a record lies on the reverse strand."""
+    return flag.bitwiseAND(16) != 0
+
+
+#: IUPAC letters and the bases that stand for them in a VCF.
+AMBIGUOUS, PLAIN = "RYSWKMBDHVryswkmbdhv", "ACCAGACAAAaccagacaaa"
+
+
+def plain_bases(seq: Column) -> Column:
+    return F.translate(seq, AMBIGUOUS, PLAIN)
+
+
+def spaced(parts: Column, n: int) -> Column:
+    """Sequences on end with ``n`` N between them."""
+    return F.array_join(parts, "N" * n)
+
+
+def wrapped(seq: Column, width: int = 64) -> Column:
+    """A sequence in lines of ``width`` bases."""
+    return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+
+
 #: IUPAC letters and their complements.
 LETTERS, COMPLEMENTS = "ACGTRYKMBDHVacgtrykmbdhv", "TGCAYRMKVHDBtgcayrmkvhdb"
 

@@ -1 +1 @@
-"""Reserved for the pipelines that join the operators."""
+"""Whole comparisons: rearrangements of two genomes, their variants, and the files that tell them."""

