@@ -11,6 +11,7 @@ from .operators import filters as fi
 from .operators import intervals as iv
 from .operators import joins as jo
 from .operators import rearrangements as re_
+from .operators import scaffold as sc
 from .operators import variants as va
 from .operators.chain import syntenic_chain
 from .operators.graph import connected
@@ -218,7 +219,7 @@ def block_extents(spark, sf_dir):
 i AS (SELECT *, sum(CASE WHEN top IS NULL OR a_start > top THEN 1 ELSE 0 END) OVER (PARTITION BY a_chr ORDER BY a_start, a_end ROWS UNBOUNDED PRECEDING) AS island FROM f),
 m AS (SELECT a_chr, min(a_start) AS s, max(a_end) AS e FROM i GROUP BY a_chr, island), z AS (SELECT a_chr, max(a_end) + 777 AS size FROM aln GROUP BY a_chr),
 b AS (SELECT a_chr, size, unnest(range((size - 1) // 100000 + 1)) AS bin FROM z)
-SELECT b.a_chr AS chr, bin * 100000 + least((bin + 1) * 100000, size) AS middle2, CAST(coalesce(sum(greatest(least(e, (bin + 1) * 100000) - greatest(s, bin * 100000), 0)), 0) AS BIGINT) AS covered FROM b LEFT JOIN m ON m.a_chr = b.a_chr AND s < (bin + 1) * 100000 AND e > bin * 100000 GROUP BY b.a_chr, bin, size""")
+SELECT b.a_chr AS chr, bin * 100000 + least((bin + 1) * 100000, size) AS middle2, CAST(sum(CASE WHEN s IS NULL THEN 0 ELSE least(e, (bin + 1) * 100000) - greatest(s, bin * 100000) END) AS BIGINT) AS covered FROM b LEFT JOIN m ON m.a_chr = b.a_chr AND s < (bin + 1) * 100000 AND e > bin * 100000 GROUP BY b.a_chr, bin, size""")
 def density(spark, sf_dir):
     a = alignments(spark, sf_dir)
     sizes = a.groupBy(F.col("a_chr").alias("chr")).agg((F.max("a_end") + 777).alias("size"))
@@ -268,7 +269,7 @@ def mutually_exclusive(spark, sf_dir):
 
 # sequences and variants
 
-@_query(EXPLODED + ", k AS (SELECT b.*, substr(regexp_replace(text, '[^ -~]', 'N', 'g'), CAST(1 + a_pos % 60 AS INT), 1) AS base FROM bases b JOIN documents ON doc_id = b.aln_id % (SELECT count(*) FROM documents) AND b.op <> 'I') SELECT aln_id, a_pos, base FROM k WHERE base <> ''")
+@_query(EXPLODED + ", d AS MATERIALIZED (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', 'N', 'g'), 1, 64) AS text, (SELECT count(*) FROM documents) AS n FROM documents), k AS (SELECT b.*, substr(text, CAST(1 + a_pos % 60 AS INT), 1) AS base FROM bases b JOIN d ON doc_id = b.aln_id % (SELECT any_value(n) FROM d) AND b.op <> 'I') SELECT aln_id, a_pos, base FROM k WHERE base <> ''")
 def bases_at(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", "[^ -~]", "N").alias("text"))
     n = d.count()
@@ -337,3 +338,15 @@ def single_variants(spark, sf_dir):
     """Positions of both tables that have one variant only, told apart by side."""
     v = _variants(spark, sf_dir)
     return va.single_positions(v.where("side = 0")).withColumn("side", F.lit(0)).unionByName(va.single_positions(v.where("side = 1")).withColumn("side", F.lit(1)))
+
+
+@_query()
+def scaffold_partners(spark, sf_dir):
+    return sc.partners(alignments(spark, sf_dir), 2000)
+
+
+@_query()
+def scaffold_order(spark, sf_dir):
+    a = alignments(spark, sf_dir)
+    sizes = a.groupBy(F.col("a_chr").alias("chr")).agg((F.max("a_end") + 777).alias("size"))
+    return sc.assembled(sc.partners(a, 2000), sizes, sizes)

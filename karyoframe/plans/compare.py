@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar_ops
@@ -13,6 +13,7 @@ from ..operators.chain import syntenic_chain
 from ..operators.filters import capped_sequences, check_genomes, chromosome_map, in_both_genomes, renamed, with_forward_partner
 from ..operators.graph import checkpointed
 from ..operators.intervals import extents, not_aligned, quality_filter
+from ..operators.joins import variants_in_blocks
 from ..operators.rearrangements import COORDS, Settings
 from ..operators.variants import anchored, cigar_variants, classify_gaps, named_blocks, numbered, summary, with_sequences
 from ..sinks import main_table, write_names, write_summary, write_table, write_vcf
@@ -73,35 +74,47 @@ def rearranged(aln: DataFrame, s: Settings = Settings()) -> Rearranged:
     return Rearranged(checkpointed(found), rows)
 
 
-def compared(found: Rearranged, a_genome: DataFrame, b_genome: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame, offset: int = 5, hdrseq: bool = False, most: int = -1, names: DataFrame | None = None) -> DataFrame:
+def compared(
+    found: Rearranged, a_genome: DataFrame, b_genome: DataFrame, a_sizes: DataFrame, b_sizes: DataFrame,
+    offset: int = 5, hdrseq: bool = False, most: int = -1, names: DataFrame | None = None,
+    sv: bool = True, short: bool = True, snps: DataFrame | None = None, copies: bool = True, copied: Column | None = None,
+) -> DataFrame:
     """The rows of the main table: rearrangements, structural and short variants, and what is not aligned.
 
     Genomes are chunks (see read_fasta_chunks()) under the names of ``found``, sizes have (chr, size). Short variants come
-    from CIGARs where the alignments have them.
+    from CIGARs, or from ``snps`` (see read_snps()) where they are given; without ``copies`` those of alignments that are
+    ``copied`` are left out.
     """
     rows = named_blocks(found.blocks, found.alignments)
     events = checkpointed(rows.where("parent IS NULL"))
     strand = found.alignments.select("block", "b_dir").distinct()
     of = events.select("block", F.col("id").alias("parent"), "a_chr", "b_chr").join(strand, "block")
-
-    gaps = classify_gaps(found.alignments, "block", ["a_start", "a_end", "b_start", "b_end", "aln_id"], offset)
-    sv = gaps.select("block", "kind", *[F.col(f"sv_{c}").alias(c) for c in COORDS]).join(of, "block")
-    sv = checkpointed(numbered(sv, ["a_chr", *COORDS, "kind", "parent"], "n"))
-    big = sv.where("kind IN ('INS', 'DEL', 'HDR', 'SNP')")
-    big = anchored(with_sequences(big, a_genome, b_genome, "n"), a_genome)
-    sv = big.unionByName(sv.join(big.select("n"), "n", "left_anti"), allowMissingColumns=True)
-    sv = capped_sequences(sv, most, hdrseq)
-
-    base = found.alignments.where("cigar IS NOT NULL").select("block", "aln_id", "a_chr", "b_chr", "a_start", "b_start", "b_dir", cigar_ops(F.col("cigar")).alias("ops"))
-    short = cigar_variants(base, a_genome, b_genome).join(base.select("aln_id", "block").distinct(), "aln_id")
-    one = short.where("a_base <> '.' AND b_base <> '.'").select("block", F.lit("SNP").alias("kind"), F.col("a_pos").alias("a_start"), F.col("a_pos").alias("a_end"), F.col("b_pos").alias("b_start"), F.col("b_pos").alias("b_end"), F.col("a_base").alias("a_seq"), F.col("b_base").alias("b_seq"))
-    runs = short_indels(short)
-    short = one.unionByName(runs).distinct().join(of, "block")
-    last = sv.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    short = checkpointed(numbered(short, ["a_chr", *COORDS, "kind", "parent"], "n", last + 1))
-    short = capped_sequences(anchored(short, a_genome), most)
-
-    variants = sv.unionByName(short, allowMissingColumns=True).withColumn("id", F.concat("kind", "n"))
+    last, kinds = 0, []
+    if sv:
+        gaps = classify_gaps(found.alignments, "block", ["a_start", "a_end", "b_start", "b_end", "aln_id"], offset)
+        held = gaps.select("block", "kind", *[F.col(f"sv_{c}").alias(c) for c in COORDS]).join(of, "block")
+        held = checkpointed(numbered(held, ["a_chr", *COORDS, "kind", "parent"], "n"))
+        big = held.where("kind IN ('INS', 'DEL', 'HDR', 'SNP')")
+        big = anchored(with_sequences(big, a_genome, b_genome, "n"), a_genome)
+        held = big.unionByName(held.join(big.select("n"), "n", "left_anti"), allowMissingColumns=True)
+        last = held.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        kinds.append(capped_sequences(held, most, hdrseq))
+    if short:
+        chosen = found.alignments if copies or copied is None else found.alignments.where(~copied)
+        if snps is None:
+            base = chosen.where("cigar IS NOT NULL").select("block", "aln_id", "a_chr", "b_chr", "a_start", "b_start", "b_dir", cigar_ops(F.col("cigar")).alias("ops"))
+            bases = cigar_variants(base, a_genome, b_genome).join(base.select("aln_id", "block").distinct(), "aln_id")
+        else:
+            bases = variants_in_blocks(snps, chosen, "block")
+        one = bases.where("a_base <> '.' AND b_base <> '.'").select("block", F.lit("SNP").alias("kind"), F.col("a_pos").alias("a_start"), F.col("a_pos").alias("a_end"), F.col("b_pos").alias("b_start"), F.col("b_pos").alias("b_end"), F.col("a_base").alias("a_seq"), F.col("b_base").alias("b_seq"))
+        small = one.unionByName(short_indels(bases)).distinct().join(of, "block")
+        small = checkpointed(numbered(small, ["a_chr", *COORDS, "kind", "parent"], "n", last + 1))
+        kinds.append(capped_sequences(anchored(small, a_genome), most))
+    none = events.withColumns({"a_seq": F.lit(None).cast("string"), "b_seq": F.lit(None).cast("string"), "n": F.lit(0).cast("long")}).limit(0)
+    variants = none
+    for k in kinds:
+        variants = variants.unionByName(k, allowMissingColumns=True)
+    variants = variants.withColumn("id", F.concat("kind", "n"))
     lost = not_aligned(found.blocks, a_sizes, b_sizes)
     return main_table(events, rows.where("parent IS NOT NULL"), variants, lost, names)
 

@@ -221,7 +221,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read as a whole, as its lines' order matters; groups are counted by a running sum over its lines.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("length(trim(line)) > 0")
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*Out[^/]*)", 1)  # of a file, or of a folder that holds it in parts
+    lines = spark.read.text(path, wholetext=True).select(named.alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("length(trim(line)) > 0")
     header = F.col("line").startswith("#")
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select("file", F.sum(header.cast("int")).over(w).alias("grp"), header.alias("header"), F.split(F.trim("line"), r"\s+").alias("fields"))

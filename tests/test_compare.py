@@ -150,3 +150,24 @@ def test_files(result, tmp_path):
     text = [r.value for r in spark.read.text(f"{tmp_path}/summary").collect()]
     assert text == summary_lines(summary(table)) and "Translocations\t2\t15000\t15000" in text
     assert table_lines(table).count() == len(lines) and vcf_lines(table).count() == len(body)
+
+
+def test_command_line(spark, planted, result, tmp_path):
+    from karyoframe import cli
+
+    for name, seqs in (("a.fa", planted.a), ("b.fa", planted.b)):
+        (tmp_path / name).write_text("".join(f">{k} x\n{v}\n" for k, v in seqs.items()))
+    lines = [(a, b, a0, a1, b0, b1, d, c) for a, b, a0, a1, b0, b1, d, *_, c in planted.aln]
+    paf = [f"{b}\t0\t{min(b0, b1) - 1}\t{max(b0, b1)}\t{'+-'[d < 0]}\t{a}\t0\t{a0 - 1}\t{a1}\t9\t9\t60\tcg:Z:{c}" for a, b, a0, a1, b0, b1, d, c in lines]
+    (tmp_path / "x.paf").write_text("\n".join(paf) + "\n")
+    args = ["compare", "-c", f"{tmp_path}/x.paf", "-r", f"{tmp_path}/a.fa", "-q", f"{tmp_path}/b.fa", "-F", "P", "--dir", str(tmp_path), "--hdrseq", "--all"]
+    first = cli.run_compare(spark, cli.parser().parse_args([*args, "-k"]))
+    key = lambda df: sorted((r.kind, r.a_chr or "", r.a_start or 0, r.a_end or 0, r.b_chr or "", r.b_start or 0, r.b_end or 0, r.a_seq or "", r.b_seq or "") for r in df.collect())
+    assert key(first) == key(result[2])
+    for name in ("table", "vcf", "summary"):
+        assert spark.read.text(f"{tmp_path}/out/{name}").count()
+    again = cli.run_compare(spark, cli.parser().parse_args([*args, "--nosr", "--nosnp", "--prefix", ""]))
+    short = [x for x in key(first) if x[0] not in ("SNP",) and not (x[0] in ("INS", "DEL") and x[3] < 20_000)]
+    assert key(again) == short
+    with pytest.raises(ValueError):
+        cli.run_compare(spark, cli.parser().parse_args([*args, "--unip", "1.5"]))
