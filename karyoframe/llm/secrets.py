@@ -2,7 +2,8 @@
 
 A candidate's features are its length and characters, how likely its character transitions are in words, how much of it
 dictionary words cover, the path it stands in and the words around it. The forest is trained from labelled findings;
-the default ones are made here by rule (see findings()), own ones can be given.
+the default ones are made here by rule (see findings()); a table of own ones can be given (forest_from()), and a dictionary
+that is a table or is counted from the corpus (corpus_dictionary()).
 """
 
 from __future__ import annotations
@@ -223,6 +224,40 @@ def default_forest(dictionary: tuple[str, ...] = DICTIONARY) -> Forest:
     return Forest(*featured(findings(), dictionary))
 
 
+#: Labelled findings that a forest is trained from, and words of a dictionary, at most.
+MAX_FINDINGS, MAX_WORDS = 20_000, 200_000
+
+
+def forest_from(labelled: DataFrame, dictionary: tuple[str, ...] = DICTIONARY, most: int = MAX_FINDINGS) -> Forest:
+    """A forest trained from a table of labelled findings (before, value, after, path, secret): ``most`` of them, chosen by a digest.
+
+    Rows without a value or a label count for nothing, other nulls are empty texts; one kind of label alone is an error.
+    """
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "value", "after", "path")]
+    rows = labelled.where("length(value) > 0 and secret is not null").select(*texts, F.col("secret").cast("boolean").alias("secret"))
+    rows = rows.orderBy(F.md5(F.concat_ws("\u0001", "before", "value", "after", "path")), "secret").limit(most).collect()
+    if len({r.secret for r in rows}) < 2:
+        raise ValueError("labelled findings of both kinds are needed")
+    return Forest(*featured([tuple(r) for r in rows], dictionary))
+
+
+def corpus_dictionary(docs: DataFrame, least: int = 20, most: int = MAX_WORDS) -> DataFrame:
+    """(word, n): words of 3 to 20 letters a-z in any case that at least ``least`` rows of ``docs`` have, the ``most`` common ones.
+
+    All rows and whole texts are counted, each row once for a word; counts are combined before the shuffle.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))
+    held = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return held.orderBy(F.desc("n"), "word").limit(most)
+
+
+def dictionary_words(dictionary: tuple[str, ...] | DataFrame) -> tuple[str, ...]:
+    """The words of a dictionary that is a tuple or a table with a column ``word``, MAX_WORDS of the latter at most."""
+    if isinstance(dictionary, DataFrame):
+        return tuple(r.word for r in dictionary.where("length(word) > 0").select("word").distinct().orderBy("word").limit(MAX_WORDS).collect())
+    return tuple(dictionary)
+
+
 def _scan(texts: list[str | None], paths: list[str | None], forest: Forest, least: float, words: Lexicon) -> list[list[tuple[int, int, str, float, bool]]]:
     """(begin, end, kind, score, secret) of each text's candidates."""
     found = [candidates(t) for t in texts]
@@ -244,13 +279,13 @@ def _paths(part: pa.RecordBatch) -> list[str | None]:
     return part.column("path").to_pylist() if "path" in part.schema.names else [None] * len(part)
 
 
-def scan_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] | DataFrame = DICTIONARY) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, findings, redacted) for each row of ``docs`` (doc_id, text; path if there is one).
 
     findings is an array of (begin, end, kind, score, secret) in code points; redacted is the text with "[SECRET]" for
     each secret. An own forest should be trained from findings featured() with the same dictionary. A null text has none and stays null; repeated rows give a row each; an empty table gives no rows.
     """
-    dictionary = tuple(dictionary)
+    dictionary = dictionary_words(dictionary)
     model = docs.sparkSession.sparkContext.broadcast((forest or default_forest(dictionary), lexicon(dictionary)))
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64()), ("secret", pa.bool_())]))
 
@@ -275,9 +310,9 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"), F.sha2(F.encode(F.coalesce("redacted", F.lit("")), "UTF-8"), 256).alias("redacted_sha256"))
 
 
-def without_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
+def without_secrets(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, dictionary: tuple[str, ...] | DataFrame = DICTIONARY) -> DataFrame:
     """``docs`` with all its columns and each secret in text replaced; n_chars, where there is one, is counted again."""
-    dictionary = tuple(dictionary)
+    dictionary = dictionary_words(dictionary)
     model = docs.sparkSession.sparkContext.broadcast((forest or default_forest(dictionary), lexicon(dictionary)))
     schema = docs.schema
 
