@@ -177,10 +177,12 @@ def overlap_groups(rows: DataFrame, chr_: str, start: str, end: str, id_: str, l
     rows = islands(rows.select(F.col(id_).alias("id"), F.col(chr_).alias("chr"), F.col(start).alias("s"), F.col(end).alias("e")), ["chr"], "s", "e")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "e", "id"], ignore_index=True)
-        names, left, right, first = [], 0, -1, None
-        for s, e, i in zip(pdf["s"].tolist(), pdf["e"].tolist(), pdf["id"].tolist()):
+        pdf = pdf.sort_values(["chr", "island", "s", "e", "id"], ignore_index=True)
+        names, left, right, first, on = [], 0, -1, None, None
+        for c, s, e, i in zip(*(pdf[k].tolist() for k in ("chr", "s", "e", "id"))):
             shared = right - s
+            if c != on:
+                on, first = c, None
             if first is None or s > right or not (e < right + least or 2 * (e - right) < shared or 2 * (s - left) < shared):
                 left, right, first = s, e, i
             else:
@@ -188,7 +190,10 @@ def overlap_groups(rows: DataFrame, chr_: str, start: str, end: str, id_: str, l
             names.append(first)
         return pd.DataFrame({"id": pdf["id"], "grp": names})
 
-    return rows.groupBy("chr", "island").applyInPandas(fold, "id long, grp long").withColumnRenamed("id", id_)
+    # many unions are small: they are dealt out to a few tasks a core, never more than a union at a time in one fold
+    deals = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64("chr", "island"), F.lit(deals)))
+    return rows.groupBy("_deal").applyInPandas(fold, "id long, grp long").withColumnRenamed("id", id_)
 
 
 def density(bed: DataFrame, sizes: DataFrame, width: int = 100_000) -> DataFrame:
