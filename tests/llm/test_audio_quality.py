@@ -132,3 +132,42 @@ def test_payload_that_looks_like_a_tag():
         assert unwrap(media, audio) == text and audio.tags["title"] == "a title" and audio.skipped == 0
     cut = wrap(b"x" * 5760)[:-50] + b"TAG" + b"a title".ljust(125, b"\0")
     assert parse(cut).tags["title"] == "a title" and len(unwrap(cut)) == 5760 - 576
+
+
+def test_verdict_and_held_out_labels(spark):
+    from karyoframe.llm.quality import RATES, judge, labelled, rates, rules_from, text_stats
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # rules learned from two thirds of the labels are tried on the others
+    mine = labels.where("doc_id % 3 <> 0")
+    rules = rules_from(docs.select("doc_id", "text"), mine)
+    found = labelled(docs.select("doc_id", "text"), labels)
+    found = found[(found["doc_id"] % 3 == 0) & (found["_n_words"] >= 20) & (100 * found["_n_repeat_words"] <= 30 * found["_n_words"])]
+    x, rejected = rates(found), False
+    for r in rules:
+        rejected = rejected | r.covers(x)
+    right = (rejected == found["_bad"]).mean()
+    assert len(found) > 50 and right >= 0.9, right
+    # the verdict of each row, from the rules' numbers in plain Python
+    at = {c: k for k, c in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_digits", "n_bars", "n_distinct", "n_lone", "n_rows"))}
+    all_rules = rules_from(docs.select("doc_id", "text"), labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in judge(docs, labels).collect():
+        s = text_stats([texts[r.doc_id]])[0].tolist()
+        value = {k: 1000 * s[at[a]] // max(s[at[b]], 1) for k, (a, b) in RATES.items()}
+        failed = s[0] < 20 or 100 * s[4] > 30 * s[0]
+        hit = any(all(value[n] >= v if least else value[n] <= v for n, least, v in rule.tests) for rule in all_rules)
+        assert (r.base_failed, r.kept) == (failed, not failed and not hit)
+
+
+def test_columns_that_clash_and_repeated_labelled_ids(spark):
+    from karyoframe.llm.quality import keep_good, rules_from
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 5, 6), (1, text + " more", 7, 8), (2, "short", 1, 1), (None, text, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n_words int, `_text` int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(r._n_words for r in kept.collect()) == [2, 5, 7]
+    assert rules_from(docs.select("doc_id", "text"), labels) == rules_from(docs.orderBy("_n_words", ascending=False).select("doc_id", "text"), labels)
