@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, free_prefix, give_back, slices, small_batches, smaller, trimmed, written
+from .common import components, cut, free_prefix, give_back, slices, small_batches, smaller, told, trimmed, written
 from .shingles import mix64, shingle_sets
 
 #: n-grams for each fragment task of step 1; a fragment's numbers take about 25 bytes each. A set has a row in each
@@ -45,6 +45,8 @@ FRAGMENTS = 4
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 15
 #: Most slots of the table that tells how common an n-gram is; a crowded table only makes the order less sharp.
 SLOTS = 1 << 22
+#: Slots (a power of two) whose levels are packed into one row.
+PART_BITS = 14
 
 _MANY = np.uint64(0)
 
@@ -167,6 +169,13 @@ def _common(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
 
+def _packed(key: tuple, frame: pa.Table) -> pa.Table:
+    """The levels of one part of the slots, a byte each."""
+    out = np.zeros(1 << PART_BITS, dtype=np.uint8)
+    out[frame.column("slot").to_numpy() & (len(out) - 1)] = np.minimum(frame.column("level").to_numpy(), 255)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([out.tobytes()], pa.binary())})
+
+
 class Order:
     """The global order of n-grams and its fragments: ``levels`` by slot, ``cuts`` where all fragments but the first begin."""
 
@@ -379,8 +388,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     known = classes.join(alike, "own").join(shared, "own", "left").withColumn("shared", F.least("n", F.col("within") + F.coalesce("shared", F.lit(0))))
     open_ = cut(known.where(f"alike > 1 or 100 * shared >= {percent} * n").select("set", "first", (F.col("n") - F.col("shared")).alias("lone")))
 
-    ids = smaller(open_.where("first is not null").select(F.col("first").alias("doc_id")).distinct())
-    texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    # a text that the filter lets through by chance is a set that came along, as one of a repeated id is
+    ids = open_.where("first is not null").select("first")
+    texts = told(docs, "doc_id", ids, "open").where("open or doc_id is null").select("doc_id", "text")
     run, schema = _sets(width)
     sets = texts.mapInArrow(trimmed(run), schema).where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = sets.join(classes.select("set", "first"), "set").join(open_.select("set", "lone"), "set", "left")
