@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, free_prefix, give_back, slices, small_batches, smaller, told, trimmed, written
+from .common import components, cut, free_prefix, give_back, slices, small_batches, told, trimmed, without, written
 from .shingles import mix64, shingle_sets
 
 #: n-grams for each fragment task of step 1; a fragment's numbers take about 25 bytes each. A set has a row in each
@@ -415,7 +415,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     named = found.join(rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first"))
     gone = cut(found.join(first, "component_id").where("row <> first").select(F.col("row").alias(own)))
-    return rows.join(smaller(gone), own, "left_anti").select(*docs.columns)
+    return without(rows, own, gone).select(*docs.columns)
 
 
 def _owner_column():
