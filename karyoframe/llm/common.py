@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +19,15 @@ from pyspark.sql.window import Window
 
 #: Rows that may be broadcast when they hold no more than an id or a few numbers each: the driver's heap takes about 150 bytes a row meanwhile.
 BROADCAST_ROWS = 500_000
+#: Most edges whose components the driver finds by itself, in 16 bytes each, as rounds over so few cost more in tasks than in rows.
+DRIVER_EDGES = 100_000
 #: Words of 64 bits in a row of a filter's table.
 WORDS = 512
 #: Most bytes of an Arrow batch of texts; a row that has more is a batch of its own.
 BATCH_BYTES = 8 << 20
 
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,14 +57,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the JVM ends."""
+    """A new path in the shared folder, deleted at the end of ``passing`` or else when the JVM ends."""
     path = f"{shared_dir(spark)}/karyoframe/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    held = _passing.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What gets a scratch path meanwhile is deleted at the end: for frames that nothing reads later."""
+    held: list[str] = []
+    token = _passing.set(held)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in held:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then Spark deletes shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows of a wide frame, written once as Parquet in the shared folder and read again."""
     path = scratch_path(df.sparkSession, name)
@@ -193,6 +221,19 @@ def ranked(df: DataFrame, group: list[str], key: str, ties: list[str], name: str
     return joined(cuts.drop("_n"), counts, [*group, "_range"]).withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(id, root) for every end of the edges: trees of places in the order of ids, where a lower root takes the higher one in."""
+    ids, at = np.unique(np.concatenate((a, b)).astype(np.int64), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (open_ := root[a] != root[b]).any():
+        a, b = a[open_], b[open_]
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return pa.table({"id": pa.array(ids), "root": pa.array(ids[root])})
+
+
 def components(spark: SparkSession, edges: DataFrame, slices_: int = 1024) -> DataFrame:
     """(id, root) for every end of the edges (a, b): root is the smallest id that can be reached.
 
@@ -200,9 +241,13 @@ def components(spark: SparkSession, edges: DataFrame, slices_: int = 1024) -> Da
     hooked, and goes on to the root of one's root. Roots only get smaller, and where nothing changes both ends of each
     edge have the same one: it ends by itself, for long chains too. Least values are combined before the shuffle. An end
     with more than one of ``slices_`` parts of all edges, of which there can be ``slices_`` at most, is dealt out in as
-    many slices as it has such parts, so that a hub is no hot key.
+    many slices as it has such parts, so that a hub is no hot key. Up to DRIVER_EDGES edges are joined by the driver.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    edges = edges.select("a", "b").where("a <> b")
+    if edges.count() <= DRIVER_EDGES:
+        found = edges.toArrow()
+        return spark.createDataFrame(_joined(found.column("a").to_numpy(), found.column("b").to_numpy()), "id long, root long")
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degrees = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count(F.lit(1)).alias("degree"))
     degrees = cut(degrees)
     most = max(256, (degrees.agg(F.sum("degree")).first()[0] or 0) // slices_)

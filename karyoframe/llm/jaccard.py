@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, free_prefix, give_back, slices, small_batches, told, trimmed, without, written
+from .common import components, cut, free_prefix, give_back, let_go, passing, slices, small_batches, told, trimmed, without, written
 from .shingles import mix64, shingle_sets
 
 #: n-grams for each fragment task of step 1; a fragment's numbers take about 25 bytes each. A set has a row in each
@@ -254,9 +254,9 @@ def _folded(bitmaps: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
 
 
 def _bitmaps(batches):
-    schema = pa.schema([("id", pa.int64()), ("bitmap", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_bitmap(np.frombuffer(g, np.uint64)) for g in batch.column("grams").to_pylist()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array([_bitmap(np.frombuffer(g, np.uint64)) for g in batch.column("grams").to_pylist()], pa.binary())], schema=schema)
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -272,10 +272,10 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 def _partial_overlaps(batches):
     """The overlap of a pair in one fragment."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())])
+    schema = pa.schema([(k, pa.int64()) for k in ("a", "b", "na", "nb", "common")])
     for batch in batches:
         common = [_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], schema=schema)
 
 
 def _linked(pairs: DataFrame, sizes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -285,8 +285,8 @@ def _linked(pairs: DataFrame, sizes: DataFrame, segments: DataFrame, percent: in
     near = near.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
     for s in ("a", "b"):
         near = near.join(segments.select(F.col("id").alias(s), "fragment", F.col("segment").alias(f"s{s}")), [s, "fragment"])
-    counts = near.select("a", "b", "sa", "sb").mapInArrow(trimmed(_partial_overlaps), "a long, b long, common long")
-    sums = counts.groupBy("a", "b").agg(F.sum("common").alias("common")).join(of("a"), "a").join(of("b"), "b")
+    counts = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_partial_overlaps), "a long, b long, na long, nb long, common long")
+    sums = counts.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return sums.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
@@ -333,13 +333,13 @@ def _block_pairs(percent: int, forest: bool):
     return run
 
 
-def _candidates(under: DataFrame, state: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _candidates(under: DataFrame, bitmaps: DataFrame, roots: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Distinct pairs (a, b) that share one of their first n-grams (``under``) and may be similar, but have different roots.
 
-    ``state`` has (id, root, n, bitmap). The sets under an n-gram are dealt to blocks of about BLOCK by size; each block
+    ``bitmaps`` has (id, n, bitmap), ``roots`` (id, root) of those that have another root than themselves or may have. The sets under an n-gram are dealt to blocks of about BLOCK by size; each block
     meets those whose sizes allow similar sets.
     """
-    here = under.join(state.select("id", "root", "n"), "id")
+    here = under.join(bitmaps.select("id", "n"), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = here.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y").select("gram", "held")
     here = cut(here.join(mixed, "gram"))
     large = here.where(F.col("held") > BLOCK)
@@ -359,7 +359,7 @@ def _candidates(under: DataFrame, state: DataFrame, percent: int, forest: bool)
     deals = max(2 * int(under.sparkSession.conf.get("spark.sql.shuffle.partitions")), small.count() // PER_DEAL)
     zero = F.lit(0).cast("long")
     small = small.withColumn("deal", F.pmod(F.xxhash64("gram"), F.lit(deals))).withColumn("block", zero).withColumn("left", zero).withColumn("right", zero)
-    both = small.select(*names).unionByName(large.select(*names)).join(state.select("id", "bitmap"), "id")
+    both = small.select(*names).unionByName(large.select(*names)).join(bitmaps.select("id", "bitmap"), "id")
     return cut(both.groupBy("deal", "left", "right").applyInArrow(_block_pairs(percent, forest), "a long, b long").distinct())
 
 
@@ -396,10 +396,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     sets = sets.join(classes.select("set", "first"), "set").join(open_.select("set", "lone"), "set", "left")
     # a set without n-grams of its own is central in its group; sets that came along by a repeated id are least so
     sets = sets.withColumn("apart", F.coalesce(F.col("lone") / F.col("n"), F.lit(1.0))).drop("lone")
-    sets = written(sets.withColumn("id", F.xxhash64("set")), "sets")
-    if sets.groupBy("id").count().where("count > 1").limit(1).count():
-        raise RuntimeError("two sets have the same 64-bit id")
-    return _link(members, sets, percent)
+    with passing(docs.sparkSession):
+        sets = written(sets.withColumn("id", F.xxhash64("set")), "sets")
+        if sets.groupBy("id").count().where("count > 1").limit(1).count():
+            raise RuntimeError("two sets have the same 64-bit id")
+        let_go(docs.sparkSession)
+        return _link(members, sets, percent)
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -411,7 +413,9 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     """
     own = f"{free_prefix(docs.columns)}row"
     rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")  # written once, so that a row keeps its number
-    found = cut(jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"))
+    with passing(docs.sparkSession):
+        found = cut(jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"))
+    let_go(docs.sparkSession)
     named = found.join(rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first"))
     gone = cut(found.join(first, "component_id").where("row <> first").select(F.col("row").alias(own)))
@@ -450,10 +454,10 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # sets under n-grams whose sets don't all stand in one component yet
     under = cut(under.join(central.select("gram"), "gram", "left_semi"))
-    bitmaps = cut(sets.select("id", "grams").join(under.select("id").distinct(), "id", "left_semi").mapInArrow(trimmed(_bitmaps), "id long, bitmap binary"))
+    bitmaps = cut(sets.select("id", "n", "grams").join(under.select("id").distinct(), "id", "left_semi").mapInArrow(trimmed(_bitmaps), "id long, n long, bitmap binary"))
     for forest in (True, False):
-        state = sizes.join(bitmaps, "id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "bitmap")
-        more = cut(_linked(_candidates(under, state, percent, forest), sizes, segments, percent))
+        let_go(spark)
+        more = cut(_linked(_candidates(under, bitmaps, roots, percent, forest), sizes, segments, percent))
         if more.limit(1).count():
             up = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias(f"r{s}"))  # noqa: B023, E731
             told = more.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()

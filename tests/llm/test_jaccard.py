@@ -1,6 +1,8 @@
+import os
 import random
 
-from karyoframe.llm.jaccard import jaccard_components
+from karyoframe.llm.common import shared_dir
+from karyoframe.llm.jaccard import jaccard_components, without_near_copies
 
 
 def brute(rows, width=4, percent=85):
@@ -65,3 +67,17 @@ def test_empty_table_and_clashing_columns(spark):
     assert got(spark, []) == []
     df = spark.createDataFrame([(1, "a b c d e", 5, "x")], "doc_id long, text string, n long, component_id string")
     assert [tuple(r) for r in jaccard_components(df).collect()] == [(1, 2, 1)]
+
+
+def test_scratch_is_deleted_when_nothing_reads_it(spark):
+    """Of the tables that are written on the way, the result reads only the rows themselves."""
+    top = shared_dir(spark).removeprefix("file://") + "/karyoframe"
+    held = lambda: set(os.listdir(top)) if os.path.isdir(top) else set()
+    before = held()
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('some words that two texts share ', id div 2, ' and ', id div 2, ' more') AS text")
+    kept = without_near_copies(docs)
+    assert [x.split("-")[0] for x in held() - before] == ["rows"]
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    between, found = held(), jaccard_components(docs)
+    assert [x.split("-")[0] for x in held() - between] == ["prints"]
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i - i % 2 for i in range(40)}
