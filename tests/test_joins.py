@@ -49,3 +49,16 @@ def test_inversion_pairs_take_little_disk_and_many_tasks(spark, tmp_path):
     n = spark.read.parquet(f"{tmp_path}/pairs").distinct().count()
     assert n == 2250 * 2249 // 2
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < n / 2
+
+
+def test_wide_pairs_are_made_as_they_are_taken(spark):
+    """A pack's pairs with all packs of its cell are not held in memory: the first pair takes few others."""
+    rows = spark.range(4000).selectExpr("id AS aln_id", "'c1' AS a_chr", "1000 * id AS a_start", "1000 * id + 500 AS a_end", "1000 * id AS b_start", "1000 * id + 500 AS b_end")
+    assert len(jo.wide_pairs(rows, ["a_chr"], 10**9).limit(1).collect()) == 1
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsCount() - 1
+    made, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    each = [n for n in map(nodes.apply, range(nodes.size())) if n.name().startswith("Generate")]
+    found = [made.get(m.accumulatorId()) for n in each for m in map(n.metrics().apply, range(n.metrics().size())) if m.name() == "number of output rows"]
+    counts = [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    assert counts and sum(counts) < 256 * 256
